@@ -8,6 +8,8 @@ many documents of each length get one more copy; which ones is decided by a seed
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ from tidemark.storage import written
 
 #: Budget left for the dynamic programming, in tokens; the part before it is taken proportionally.
 KNAPSACK_TOKENS = 32_768
+#: Part of the mix that may lack when its total is chosen.
+TOLERATED_LACK = 0.05
 _BUCKET_BITS = 12
 
 
@@ -76,19 +80,38 @@ def fit(counts: dict[int, int], budget: int, max_repeats: int, knapsack_tokens:
     return whole, {length: k for length, k in extra.items() if k}
 
 
-def budgets(totals: DataFrame, targets: DataFrame, total_tokens: int | None = None) -> DataFrame:
+def greatest_total(targets: list[tuple[float, int, int]], tolerated_lack: float) -> int:
+    """Size of the mix when none is asked for: the tokens there are, or less where too much would lack.
+
+    ``targets``: (target share, available tokens, greatest number of repeats). What the sources that have
+    documents cannot give is at most ``tolerated_lack`` of the total. With no tolerance at all one source
+    of hardly any text would make the whole mix as small as itself; a source without any is not counted.
+    """
+    total = sum(available for _, available, _ in targets)
+    most = sorted((available * repeats / share, share, available * repeats) for share, available, repeats in targets if available)
+    share, given = 0.0, 0.0  # of the sources that lack something: shares, and what they give
+    for i, (reach, s, gives) in enumerate(most):
+        share, given = share + s, given + gives
+        upto = most[i + 1][0] if i + 1 < len(most) else math.inf
+        # lack of a total t is share - given / t, from this source's reach on
+        if share > tolerated_lack:
+            t = max(reach, given / (share - tolerated_lack))
+            if t < upto:
+                return min(total, math.floor(t))
+    return total
+
+
+def budgets(totals: DataFrame, targets: DataFrame, total_tokens: int | None = None, tolerated_lack: float = TOLERATED_LACK) -> DataFrame:
     """source, target_share, max_repeats, available_tokens, budget_tokens for every target.
 
-    ``total_tokens`` None takes the greatest total at which every source that has documents can meet its
-    target within its repeats. Targets without share, repeats or source are left out; of several rows of
-    one source the greatest share counts.
+    ``total_tokens`` None takes ``greatest_total``. Targets without share, repeats or source are left out;
+    of several rows of one source the greatest share counts.
     """
     t = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats > 0").groupBy(F.col("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     t = t.join(totals.select(F.col("source").alias("_s"), "available_tokens"), F.col("source") == F.col("_s"), "left").drop("_s")
     t = t.withColumn("available_tokens", F.coalesce("available_tokens", F.lit(0)))
     if total_tokens is None:
-        can = F.floor(F.col("available_tokens") * F.col("max_repeats") / F.col("target_share"))
-        total_tokens = t.where("available_tokens > 0").agg(F.min(can)).first()[0] or 0
+        total_tokens = greatest_total([tuple(r) for r in t.select("target_share", "available_tokens", "max_repeats").collect()], tolerated_lack)  # one row a target
     return t.withColumn("budget_tokens", F.floor(F.lit(float(total_tokens)) * F.col("target_share") + F.lit(1e-6)).cast("long"))
 
 
