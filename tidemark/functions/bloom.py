@@ -56,11 +56,11 @@ def _probes(h: np.ndarray, k: int) -> np.ndarray:
         return h[:, None] + delta[:, None] * np.arange(k, dtype=np.uint32)[None, :]
 
 
-def build(keys: Iterable[bytes], bits_per_key: int = 10) -> bytes:
-    """A filter over the keys; never denies one of them."""
+def build(keys: Iterable[bytes], bits_per_key: int = 10, n_keys: int | None = None) -> bytes:
+    """A filter over the keys; never denies one of them. ``n_keys``: number it is sized for, when keys recur."""
     keys = list(keys)
     k = min(30, max(1, int(bits_per_key * 0.69)))
-    n_bytes = (max(64, len(keys) * bits_per_key) + 7) // 8
+    n_bytes = (max(64, (n_keys or len(keys)) * bits_per_key) + 7) // 8
     bits = np.zeros(n_bytes * 8, dtype=np.uint8)
     if keys:
         bits[_probes(hashes(keys), k).ravel() % np.uint32(n_bytes * 8)] = 1
@@ -105,12 +105,15 @@ def key_may_match(key: pd.Series, filter: pd.Series) -> pd.Series:
     return out
 
 
-def build_filters(keys: DataFrame, by: list[str], key: str, bits_per_key: int = 10) -> DataFrame:
-    """One filter for each group of binary keys: the keys of a block, so groups are as small as blocks are."""
+def build_filters(keys: DataFrame, by: list[str], key: str, bits_per_key: int = 10, n_keys: str | None = None) -> DataFrame:
+    """One filter for each group of binary keys: the keys of a block, so groups are as small as blocks are.
+
+    ``n_keys`` names a column of ``by`` with the number of keys that the filter is sized for.
+    """
 
     def build_one(part: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in part:
-            yield pd.DataFrame({**{b: pdf[b] for b in by}, "filter": [build([bytes(k) for k in ks], bits_per_key) for ks in pdf["_keys"]]})
+            yield pd.DataFrame({**{b: pdf[b] for b in by}, "filter": [build([bytes(k) for k in ks], bits_per_key, n) for ks, n in zip(pdf["_keys"], pdf[n_keys] if n_keys else [None] * len(pdf))]})
 
     grouped = keys.where(F.col(key).isNotNull()).groupBy(*by).agg(F.collect_list(key).alias("_keys"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in keys.select(*by).schema) + ", filter binary"

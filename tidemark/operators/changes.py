@@ -34,7 +34,8 @@ def _newest(value: Column, at: Column) -> Column:
     return F.max_by(value, F.when(at.isNotNull(), F.struct(at, value)))
 
 
-def _compose(patches: DataFrame, by: list, values: Sequence[str], updates: bool) -> DataFrame:
+def compose_again(patches: DataFrame, by: list, values: Sequence[str], updates: bool) -> DataFrame:
+    """Patches of the groups ``by``, composed of theirs."""
     aggregates = [F.max(PUT_AT).alias(PUT_AT), F.max(DELETE_AT).alias(DELETE_AT)]
     for c in values:
         aggregates.append(_newest(F.col(f"_value_{c}"), F.col(PUT_AT)).alias(f"_value_{c}"))
@@ -83,7 +84,7 @@ def compose_patches(
     valid = F.col(key).isNotNull() & F.col(order).isNotNull() & code.isin(known)
     patches = changes.where(valid).select(*columns)
     for by in (["_key", CHUNK], ["_key"]):
-        patches = _compose(patches, by, values, update is not None)
+        patches = compose_again(patches, by, values, update is not None)
     return patches
 
 

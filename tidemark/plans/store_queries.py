@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions import bloom
+from tidemark.functions import bytes as b
 from tidemark.operators import compaction, merge, order, reads, versions, writes
 from tidemark.schema import oplog
+from tidemark.sources import connectors
+from tidemark.storage import scratch
+from tidemark.streaming import ingest
 
 SNAPSHOT = 5000
 KEY = "u77"
@@ -370,3 +375,95 @@ def tables_text(spark, d):
 @_query(f"SELECT count(*) AS n_entries, CAST(sum({_SIZE}) AS BIGINT) AS n_bytes FROM {_LOG}")
 def memtable_statistics(spark, d):
     return _log(spark, d).agg(F.count(F.lit(1)).alias("n_entries"), F.sum(writes.element_size()).alias("n_bytes"))
+
+
+# --- functions
+
+
+@_query("SELECT seq, user_key || ' @ ' || seq || ' : ' || CASE op WHEN 1 THEN 'Put' ELSE 'Delete' END AS text, strlen(user_key) + 9 AS n_bytes FROM " + _LOG)
+def key_text(spark, d):
+    log = _log(spark, d)
+    return log.select("seq", b.key_text(F.col("user_key"), F.col("seq"), F.col("op")).alias("text"), b.key_bytes(F.col("user_key")).alias("n_bytes"))
+
+
+@_query(None)
+def separators(spark, d):
+    """A separator of each live key and the next, and a successor of each."""
+    near = order.neighbours(reads.scan(_log(spark, d)).select("user_key"), "user_key")
+    key, after = F.col("user_key").cast("binary"), F.col("next_key").cast("binary")
+    return near.select("user_key", F.hex(b.separator_of(key, after)).alias("separator"), F.hex(b.successor_of(key)).alias("successor"))
+
+
+@_query(None)
+def checksums(spark, d):
+    """Hash, checksum and its stored form of each key."""
+    key = F.col("user_key").cast("binary")
+    rows = _log(spark, d).select("user_key").distinct().select("user_key", bloom.bloom_hash(key).alias("hash"), b.crc32c_of(key).alias("crc32c"))
+    return rows.withColumn("stored", b.masked(F.col("crc32c")))
+
+
+@_query("SELECT DISTINCT file_number, filter_index FROM filter_blocks WHERE FALSE")
+def bloom_no_false_negative(spark, d):
+    """Stored filters that deny one of their own keys: there must be none."""
+    keys = _table(spark, d, "filter_keys").where("user_key IS NOT NULL").select("file_number", F.expr("block_offset div 2048").alias("filter_index"), F.col("user_key").cast("binary").alias("key")).distinct()
+    asked = keys.join(_table(spark, d, "filter_blocks").where("filter IS NOT NULL"), ["file_number", "filter_index"])
+    return asked.where(~bloom.key_may_match(F.col("key"), F.col("filter"))).select("file_number", "filter_index").distinct()
+
+
+@_query("""SELECT file_number, filter_index, hex(filter) AS filter FROM (SELECT DISTINCT file_number, filter_index, filter FROM filter_blocks WHERE filter IS NOT NULL)""")
+def build_filters(spark, d):
+    """Filters built anew from the keys of each block; equal to the stored ones."""
+    keys = _table(spark, d, "filter_keys").select("file_number", F.expr("block_offset div 2048").alias("filter_index"), F.col("user_key").cast("binary").alias("key")).distinct()
+    stored = _table(spark, d, "filter_blocks").where("filter IS NOT NULL").select("file_number", "filter_index", "n_keys").distinct()
+    return bloom.build_filters(keys.join(stored, ["file_number", "filter_index"]), ["file_number", "filter_index", "n_keys"], "key", n_keys="n_keys").select("file_number", "filter_index", F.hex("filter").alias("filter"))
+
+
+@_query("SELECT DISTINCT file_number, CAST(regexp_extract(file_number || '.rdb', '^(\\d+)', 1) AS BIGINT) AS parsed FROM edits WHERE file_number IS NOT NULL")
+def file_numbers(spark, d):
+    numbers = _table(spark, d, "edits").where("file_number IS NOT NULL").select("file_number").distinct()
+    return numbers.select("file_number", b.file_number(F.concat(F.lit("data/"), F.col("file_number").cast("string"), F.lit(".rdb"))).alias("parsed"))
+
+
+# --- native files and streams
+
+
+@_query(f"SELECT user_key, seq, op, value FROM {_LOG} WHERE seq IN (SELECT seq FROM {_LOG} GROUP BY 1 HAVING count(*) = 1)")
+def wal_roundtrip(spark, d):
+    """The op-log's operations written as logs and read back; a number that two keys have is no log's."""
+    folder = scratch(spark, "wal")
+    log = _log(spark, d)
+    once = log.groupBy("seq").agg(F.count(F.lit(1)).alias("n"), F.first("user_key").alias("user_key"), F.first("op").alias("op"), F.first("value").alias("value")).where("n = 1")
+    connectors.write_logs(once, folder, files=8).collect()
+    back = connectors.read_logs(spark, folder)
+    return back.select(F.col("user_key").cast("string").alias("user_key"), "seq", "op", F.col("value").cast("string").alias("value"))
+
+
+@_query(f"SELECT user_key, seq, op, CASE WHEN op = 1 THEN coalesce(value, '') END AS value FROM {_LOG}")
+def table_roundtrip(spark, d):
+    """The op-log written as table files and read back; the format has no null value of a put."""
+    folder = scratch(spark, "tables")
+    connectors.write_tables(_log(spark, d), folder).collect()
+    back = connectors.read_tables(spark, folder)
+    return back.select(F.col("user_key").cast("string").alias("user_key"), "seq", "op", F.col("value").cast("string").alias("value"))
+
+
+@_query("""SELECT DISTINCT lower(trim(kind)) AS kind, level, file_number, CASE WHEN lower(trim(kind)) = 'add' THEN coalesce(size, 0) END AS size, wal_number, prev_sequence_number
+  FROM edits WHERE edit_no IS NOT NULL""")
+def manifest_roundtrip(spark, d):
+    folder = scratch(spark, "manifests")
+    connectors.write_manifests(_table(spark, d, "edits"), folder, files=4).collect()
+    return connectors.read_manifests(spark, folder).select("kind", "level", "file_number", "size", "wal_number", "prev_sequence_number").distinct()
+
+
+@_query(f"SELECT * FROM {_live()}")
+def stream_latest(spark, d):
+    """The op-log taken in as a stream of files."""
+    return ingest.latest_of_files(spark, f"{d}/oplog.parquet")
+
+
+@_query("SELECT batch_no, key AS user_key, value FROM (SELECT batch_no, user_key AS key, value FROM batch WHERE op = 1 AND user_key IS NOT NULL AND value IS NOT NULL) GROUP BY ALL")
+def json_batches(spark, d):
+    """Puts as one JSON map a batch, and the maps taken apart again."""
+    puts = _table(spark, d, "batch").where("op = 1 AND user_key IS NOT NULL AND value IS NOT NULL").select("batch_no", "user_key", "value").distinct()
+    text = puts.select("batch_no", F.to_json(F.create_map("user_key", "value")).alias("json"))
+    return text.select("batch_no", F.explode(F.from_json("json", "map<string,string>")).alias("user_key", "value"))
