@@ -29,7 +29,7 @@ def ranked(rows: DataFrame, reverse: bool = False, name: str = "position") -> Da
 def concat_level(log: DataFrame, files: DataFrame, level: int) -> DataFrame:
     """Rows stored in the files of one level."""
     mine = files.where(F.col("level") == level).select(F.col("file_number").alias("_file"))
-    return log.join(mine, F.col("file_number") == F.col("_file"), "left_semi")
+    return log.join(mine, log["file_number"] == mine["_file"], "left_semi")
 
 
 def run_count(files: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def multi_get(log: DataFrame, keys: DataFrame, snapshot: int | Column = NEWEST,
     does so itself when it knows that a side is small.
     """
     asked = keys.where(F.col(key).isNotNull()).select(F.col(key).alias("_asked")).distinct()
-    mine = log.join(asked, F.col("user_key") == F.col("_asked"), "left_semi")
+    mine = log.join(asked, log["user_key"] == asked["_asked"], "left_semi")
     rows = scan(mine, snapshot)
     return asked.join(rows, F.col("_asked") == F.col("user_key"), "left").select(F.col("_asked").alias("user_key"), F.col("seq").isNotNull().alias("found"), "seq", "value")
 
@@ -96,5 +96,5 @@ def prev_rows(rows: DataFrame, current, n: int = 1) -> DataFrame:
 def snapshot_diff(log: DataFrame, old: int | Column, new: int | Column) -> DataFrame:
     """Live rows at ``new`` that were not the same at ``old``. Only keys written in between can differ."""
     written = log.where((F.col("seq") > old) & (F.col("seq") <= new)).select(F.col("user_key").alias("_k")).distinct()
-    now = scan(log.join(written, F.col("user_key") == F.col("_k"), "left_semi"), new)
+    now = scan(log.join(written, log["user_key"] == written["_k"], "left_semi"), new)
     return now.where(F.col("seq") > old)

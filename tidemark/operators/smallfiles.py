@@ -112,7 +112,7 @@ def consolidate(rows: DataFrame, edits: DataFrame, *, path: str | None = None, l
     files.mkdirs()
     small_files(edits, limit).write.mode("overwrite").parquet(f"{path}/replaced")
     replaced = spark.read.parquet(f"{path}/replaced").select(F.col("file_number").alias("_file"))
-    source = rows.join(replaced, F.col("file_number") == F.col("_file"), "left_semi")
+    source = rows.join(replaced, rows["file_number"] == replaced["_file"], "left_semi")
     rebalanced_write(source, f"{path}/data", target_bytes)
     before = multiset_checksum(source)
     after = multiset_checksum(spark.read.schema(rows.schema).parquet(f"{path}/data"))
