@@ -17,11 +17,13 @@ ordinary words (at most ``ORDINARY_WORDS``) are shipped to the tasks; scores are
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import surface
 from tidemark.storage import written
@@ -44,8 +46,9 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Tags and whatever holds digits or signs of addresses and handles are no words.
     """
-    plain = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"\S*[@\d_＠]\S*|\S*[\[(](?:at|AT)[\])]\S*", " ")
-    words = documents.select(F.explode(F.split(plain, r"[^\p{L}'-]+")).alias("w")).where(F.length("w").between(2, 40))
+    plain = F.regexp_replace(text, "<[^<>]{0,300}>", " ")
+    tokens = documents.select(F.explode(F.split(plain, r"\s+")).alias("t")).where(~F.col("t").rlike(r"[@\d_＠]|[\[(](?:at|AT)[\])]"))
+    words = tokens.select(F.explode(F.split("t", r"[^\p{L}'-]+")).alias("w")).where(F.length("w").between(2, 40))
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     small = F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0))
     return counts.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"), small.alias("small"))
@@ -184,11 +187,12 @@ def _resolve(spans: DataFrame) -> DataFrame:
         for pdf in parts:
             out = []
             for row, doc, found in zip(pdf["row"], pdf["doc_id"], pdf["found"]):
-                taken: list = []
+                taken: list = []  # (start, end, kind), in order, none overlapping
                 for s in sorted(found, key=lambda s: (-s["score"], s["start_at"] - s["end_at"], s["start_at"], s["kind"])):
-                    if all(s["end_at"] <= t["start_at"] or t["end_at"] <= s["start_at"] for t in taken):
-                        taken.append(s)
-                out += [(row, doc, t["kind"], t["start_at"], t["end_at"]) for t in taken]
+                    i = bisect_left(taken, (s["start_at"],))
+                    if (not i or taken[i - 1][1] <= s["start_at"]) and (i == len(taken) or s["end_at"] <= taken[i][0]):
+                        taken.insert(i, (s["start_at"], s["end_at"], s["kind"]))
+                out += [(row, doc, kind, a, b) for a, b, kind in taken]
             yield pd.DataFrame(out, columns=["row", "doc_id", "kind", "start_at", "end_at"])
 
     per_text = spans.groupBy("row", "doc_id").agg(F.collect_set(F.struct("kind", "start_at", "end_at", "score")).alias("found"))
@@ -216,10 +220,11 @@ def find_personal_information(documents: DataFrame, given_names: DataFrame, *, d
 
 def redact(documents: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with each piece replaced by its placeholder; everything else is unchanged."""
-    pieces = found.groupBy(F.col("row").alias("_row")).agg(F.sort_array(F.collect_set(F.struct("start_at", "end_at", "kind"))).alias("_found"))
-    joined = documents.withColumn("_key", _row_key(doc_id, text)).join(pieces, F.col("_key") == F.col("_row"), "left")
+    pieces = found.groupBy(F.col("row").alias("r")).agg(F.sort_array(F.collect_set(F.struct("start_at", "end_at", "kind"))).alias("p"))
+    whole = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("d"), _row_key(doc_id, text).alias("k"))  # names may clash with ours
+    joined = whole.join(pieces, F.col("k") == F.col("r"), "left")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def fill(texts: pd.Series, found: pd.Series) -> pd.Series:
         out = []
         for t, spans in zip(texts, found):
@@ -232,5 +237,5 @@ def redact(documents: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", te
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    columns = [fill(F.col(text), F.col("_found")).alias(text) if c == text else F.col(c) for c in documents.columns]
+    columns = [fill(F.col("d")[text], F.col("p")).alias(c) if c == text else F.col("d")[c].alias(c) for c in documents.columns]
     return joined.select(*columns)

@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 
 # Characters that look like a Latin letter.
@@ -295,19 +296,36 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
     def span(a: int, b: int) -> tuple[int, int]:
         return at[a], at[b - 1] + 1
 
-    taken: list[tuple[int, int]] = []
-    numbers: set[tuple[int, int]] = set()
-    free = lambda a, b: not any(a < y and x < b for x, y in taken)
+    marked = bytearray(len(norm))  # what an earlier candidate covers
+    address_ends: list[int] = []
+    number_starts: set[int] = set()
+
+    def free(a: int, b: int) -> bool:
+        return marked.find(1, a, b) < 0
+
+    def take(a: int, b: int) -> None:
+        marked[a:b] = b"\1" * (b - a)
+
+    def town(a: int) -> bool:
+        """Whether only the rest of an address lies before ``a``: a town, no name."""
+        i = bisect_right(address_ends, a)
+        return i > 0 and a - address_ends[i - 1] <= 24 and bool(_TOWN.match(norm[address_ends[i - 1] : a]))
+
+    def label(b: int) -> bool:
+        """Whether a number follows the colon or stop at ``b``: the word before it names the number."""
+        return bool(re.match(r"[.:]{1,2}[ \n]", norm[b : b + 3])) and any(b + i in number_starts for i in (1, 2, 3, 4))
+
     for m in EMAIL.finditer(norm):
         if not _FILE_NAMES.search(m.group()):
-            taken.append(m.span())
+            take(*m.span())
             yield ("email", *span(*m.span()), "email", None, None, "", "", 0)
     for pattern, language in ((ADDRESS_FR, "fr"), (ADDRESS_ES, "es"), (ADDRESS_DE, "de"), (ADDRESS_DE_FREE, "de"), (ADDRESS_EN, "en")):
         for m in pattern.finditer(norm):
             s = m.group()
             if not free(*m.span()) or language == "en" and _STREET_STOP.search(re.sub(r"^\d+(?:-?[A-Za-z]\b)?", "", s)):
                 continue
-            taken.append(m.span())
+            take(*m.span())
+            insort(address_ends, m.end())
             left = [t.group() for t in _WORD.finditer(norm, max(0, m.start() - 40), m.start())][-2:]
             if language == "fr":  # how many of the words after the kind of street belong to it, the core decides
                 a, b = m.span()
@@ -324,16 +342,15 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
         s = m.group()
         if not free(*m.span()) or m.lastgroup == "open" and _NOT_NUMBERS.match(s):
             continue
-        taken.append(m.span())
-        numbers.add(m.span())
+        take(*m.span())
+        number_starts.add(m.start())
         left = [t.group() for t in _WORD.finditer(norm, max(0, m.start() - 48), m.start()) if t.group()[0].isalpha()][-3:]
         a, b = m.span()
         if s.startswith("(") and ")" not in s:
             a += 1
         yield ("number", *span(a, b), m.lastgroup, _shape(norm[a:b]), None, _context(left), "", 0)
-    kinds = [(x, y, "number" if (x, y) in numbers else "address") for x, y in taken]
     for a, b, form, given, fam, left, right, det in name_candidates(norm, ordinary):
-        if free(a, b) and not any(0 <= a - y <= 24 and k == "address" and _TOWN.match(norm[y:a]) for _, y, k in kinds) and not (re.match(r"[.:]{1,2}[ \n]", norm[b : b + 3]) and any(b < x <= b + 4 and k == "number" for x, _, k in kinds)):
+        if free(a, b) and not town(a) and not label(b):
             last = fam.rpartition(" ")[2]
             flag = AFTER_DETERMINER * det | ORDINARY_GIVEN * (given in ordinary) | ORDINARY_FAMILY * (last in ordinary or last in STREET_KINDS) | SEED_GIVEN * (given in seeds) | SEED_FAMILY * (fam in seeds)
             yield ("name", *span(a, b), form, given, fam, left, right, flag)
