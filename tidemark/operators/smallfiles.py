@@ -21,7 +21,7 @@ TARGET_BYTES = 2 * 1024 * 1024
 SMALL_BYTES = 524_288
 
 #: Bytes of shuffled rows that become one byte of Parquet; measured on op-log rows (README).
-SHUFFLED_PER_STORED = 2.0
+SHUFFLED_PER_STORED = 1.75
 
 
 def live_files(edits: DataFrame) -> DataFrame:

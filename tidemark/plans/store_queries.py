@@ -11,6 +11,7 @@ from tidemark.operators import compaction, merge, order, reads, versions, writes
 from tidemark.schema import oplog
 from tidemark.sources import connectors
 from tidemark.storage import scratch
+from tidemark.store import Options, Store
 from tidemark.streaming import ingest
 
 SNAPSHOT = 5000
@@ -467,3 +468,39 @@ def json_batches(spark, d):
     puts = _table(spark, d, "batch").where("op = 1 AND user_key IS NOT NULL AND value IS NOT NULL").select("batch_no", "user_key", "value").distinct()
     text = puts.select("batch_no", F.to_json(F.create_map("user_key", "value")).alias("json"))
     return text.select("batch_no", F.explode(F.from_json("json", "map<string,string>")).alias("user_key", "value"))
+
+
+def _loaded(spark, d) -> Store:
+    store = Store(spark, scratch(spark, "store"), Options(create_if_missing=True))
+    store.load(_log(spark, d), order=[F.col("seq"), F.col("user_key")])
+    return store
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("user_key").cast("string").alias("user_key"), F.col("value").cast("string").alias("value"))
+
+
+@_query(f"SELECT user_key, value FROM {_live()}")
+def store_scan(spark, d):
+    """The op-log bulk-loaded into a store, compacted down, and scanned."""
+    with _loaded(spark, d) as store:
+        store.compact_range()
+        return _text(store.scan())
+
+
+@_query(f"SELECT user_key, value FROM {_live()} WHERE user_key >= '{LO}' AND user_key < '{HI}'")
+def store_range_after_deletes(spark, d):
+    """A snapshot of the loaded store, read after every key of the range was deleted and compacted."""
+    with _loaded(spark, d) as store:
+        snapshot = store.snapshot()
+        gone = store.range(LO.encode(), HI.encode()).select("user_key", F.lit(0).alias("op"), F.lit(None).cast("binary").alias("value"))
+        store.load(gone, order=[F.col("user_key")])
+        store.compact_range()
+        return _text(store.range(LO.encode(), HI.encode(), snapshot))
+
+
+@_query("SELECT CAST(range AS INTEGER) AS level FROM range(7)")
+def store_statistics(spark, d):
+    with _loaded(spark, d) as store:
+        store.compact_range()
+        return store.statistics().select("level")

@@ -81,9 +81,20 @@ def p5_consolidated_rows(spark: SparkSession, d: str) -> DataFrame:
     return smallfiles.consolidate(_table(spark, d, "oplog"), _table(spark, d, "edits")).rows(spark)
 
 
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    """Number, rows and bytes of the files that the consolidation wrote, and of those that it replaces."""
+    done = smallfiles.consolidate(_table(spark, d, "oplog"), _table(spark, d, "edits"))
+    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    new = done.rows(spark).groupBy(name.alias("file"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("written").alias("which"), "n_bytes", "n_rows")
+    small = _table(spark, d, "oplog").groupBy(F.col("file_number").alias("_f")).agg(F.count(F.lit(1)).alias("n"))
+    old = done.replaced(spark).join(small, F.col("file_number") == F.col("_f"), "left").select(F.lit("replaced").alias("which"), F.col("size").alias("n_bytes"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+    files = new.unionByName(old).groupBy("which").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"), F.min("n_bytes").alias("least_bytes"), F.percentile("n_bytes", F.lit(0.5)).alias("median_bytes"), F.max("n_bytes").alias("most_bytes"))
+    return files
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p5_found, p5_consolidated_rows)
+    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p5_found, p5_consolidated_rows, p5_files)
 }
 
 _VALID = "user_key IS NOT NULL AND seq IS NOT NULL AND op IN (0, 1)"
