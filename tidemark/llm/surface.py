@@ -23,9 +23,9 @@ _PIECE = re.compile(
     r"|(?P<inline></?(?:b|i|u|em|strong|span|font|tt|code|s)(?:\s[^<>]{0,200})?>|\[/?(?:b|i|u)\])"
     r"|(?P<block><br\s*/?>[ \t\r]*\n?[>| \t]*|</?(?:p|div|blockquote|li|ul|ol|td|tr|table|pre|h\d|hr)(?:\s[^<>]{0,200})?/?>)"
     r"|(?P<line>[ \t\r]*\n[>| \t\r]*)"
-    r"|(?P<blank>[ \t  -  　]+)"
+    r"|(?P<blank>[ \t  -  　]{2,}|[\t  -  　])"
     rf"|(?P<hidden>[{_HIDDEN}]+)"
-    r"|(?P<combined>[^\W\d_][̀-ͯ]+)"
+    r"|(?P<combined>[\u0300-\u036f]+)"
 )
 
 
@@ -62,7 +62,8 @@ def readable(text: str) -> tuple[str, list[int]]:
         elif kind == "blank":
             put(" ", m.start())
         elif kind == "combined":
-            put(unicodedata.normalize("NFC", m.group())[:1], m.start())
+            if out and out[-1]:  # the mark belongs to the letter before it
+                out[-1] = out[-1][:-1] + unicodedata.normalize("NFC", out[-1][-1] + m.group())[:1]
     if end < len(text):
         plain(text[end:], end)
     at.append(len(text))
@@ -138,6 +139,14 @@ ADDRESS_DE = re.compile(
     rf"(?<![\w-])(?:(?:(?:{_CAP}[ \n-]){{0,2}}[A-ZÄÖÜ][\wäöüß-]*|(?:{_CAP}[ \n-]){{1,2}})(?i:{STREET_DE})\.?|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Hinter der|Unter den|Bei der)[ \n](?:{_CAP}[ \n]){{0,2}}{_CAP})[ \n][1-9]\d{{0,3}}(?:[ ]?[a-h](?![\w]))?(?![\w.]*\d|[.,]\d)"
 )
 ADDRESS_DE_FREE = re.compile(rf"(?<![\w-])(?:(?i:am|an der|auf der|im|in der|zum|zur|hinter der|unter den)[ \n](?:[a-zäöüß]{{2,}}[ \n]){{0,2}}[a-zäöüß]{{2,}}|(?:[a-zäöüß]{{3,}}[ \n])?[a-zäöüßA-ZÄÖÜ]*(?i:straße|strasse|str|weg|gasse|allee|steig|platz|ufer|damm|pfad)\.?)[ \n][1-9]\d{{0,3}}(?:[ ]?[a-hA-H](?![\w]))?(?![\w.]*\d|[.,]\d)")
+_DE_PLACES = ["am", "an der", "an den", "auf der", "auf dem", "im", "in der", "in den", "zum", "zur", "hinter der", "unter den", "bei der"]
+#: Words of which a text must have one before the pattern is tried.
+_HINTS = {
+    "email": ["@", "at)", "at]", "at}", "at>", " at ", "\nat ", " at\n", "arobase", "arroba"],
+    "fr": STREET_FR.split("|"),
+    "es": [*STREET_ES.split("|"), "c/"],
+    "de": [*STREET_DE.split("|"), *(f"{p}{b}" for p in _DE_PLACES for b in " \n")],
+}
 _STREET_STOP = re.compile(r"(?i)\b(?:blocks?|down|of|the|for|in|to|from|with|them|were|any|good|years?|mm|ms|is|at|on|and|people|model|old(?= road to)|months?|days?|times?|by|best|get|a)\b")
 
 _WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*\.?|\n+|[^\s\w]|[\w]+")
@@ -156,6 +165,31 @@ def _context(words: list[str]) -> str:
     return " ".join("#" if w[:1].isdigit() else "^" if w[:1] == "\n" else w.lower().rstrip(".") or "." for w in words)
 
 
+_KINDS: dict[str, str] = {}
+
+
+def _kind(w: str) -> str:
+    """C capital first, U all capitals, I initial, i small initial, p prefix, l small, . ends in a stop, '' no word."""
+    if w[:1] == "\n" or not _LETTER_WORD.match(w):
+        k = ""
+    else:
+        bare = w.rstrip(".")
+        if len(bare) == 1:
+            k = "I" if bare.isupper() else "i" if w.endswith(".") else ""
+        elif w.endswith("."):
+            k = "."  # an abbreviation or the end of a sentence
+        elif bare.isupper():
+            k = "U"
+        elif bare[0].isupper():
+            k = "C"
+        else:
+            k = "p" if bare in PREFIXES else "l"
+    if len(_KINDS) > 200_000:
+        _KINDS.clear()
+    _KINDS[w] = k
+    return k
+
+
 def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
     """(start, end, form, given, family, left, right, after determiner) for every pair of words that has the form of a name.
 
@@ -170,22 +204,7 @@ def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
         a, b = toks[i][2], toks[i + 1][1]
         return "" if a == b else " " if b - a == 1 else "?"
 
-    def kind(i: int) -> str:
-        w = toks[i][0]
-        if w[:1] == "\n" or not _LETTER_WORD.match(w):
-            return ""
-        bare = w.rstrip(".")
-        if len(bare) == 1:
-            return "I" if bare.isupper() else "i" if w.endswith(".") else ""
-        if w.endswith("."):
-            return "."  # an abbreviation or the end of a sentence
-        if bare.isupper():
-            return "U"
-        if bare[0].isupper():
-            return "C"
-        return "p" if bare in PREFIXES else "l"
-
-    kinds = [kind(i) for i in range(n)]
+    kinds = [_KINDS[w] if w in _KINDS else _kind(w) for w, _, _ in toks]
 
     def end_word(i: int) -> tuple[str, int] | None:
         """Word and end of token i without a full stop, for the last part of a name."""
@@ -231,6 +250,8 @@ def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
 
     for i in range(n):
         k = kinds[i]
+        if not k or k == "." or k == "l" and toks[i][0] in ordinary:
+            continue
         if k in ("C", "U", "l") and toks[i][0].lower() not in _TITLES | DETERMINERS:
             given = toks[i][0]
             j, m = i, skip_line(i)
@@ -315,12 +336,14 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
         """Whether a number follows the colon or stop at ``b``: the word before it names the number."""
         return bool(re.match(r"[.:]{1,2}[ \n]", norm[b : b + 3])) and any(b + i in number_starts for i in (1, 2, 3, 4))
 
-    for m in EMAIL.finditer(norm):
+    low = norm.lower()
+    hinted = {k for k, words in _HINTS.items() if any(w in low for w in words)} | {"en"}
+    for m in EMAIL.finditer(norm) if "email" in hinted else ():
         if not _FILE_NAMES.search(m.group()):
             take(*m.span())
             yield ("email", *span(*m.span()), "email", None, None, "", "", 0)
     for pattern, language in ((ADDRESS_FR, "fr"), (ADDRESS_ES, "es"), (ADDRESS_DE, "de"), (ADDRESS_DE_FREE, "de"), (ADDRESS_EN, "en")):
-        for m in pattern.finditer(norm):
+        for m in pattern.finditer(norm) if language in hinted else ():
             s = m.group()
             if not free(*m.span()) or language == "en" and _STREET_STOP.search(re.sub(r"^\d+(?:-?[A-Za-z]\b)?", "", s)):
                 continue
