@@ -124,7 +124,8 @@ def pack(sized: DataFrame, *, shares: dict[str, float] | None = None, capacity:
     packed like an item. Items of no tokens (also of null texts) have no container and no place. A null
     source counts as a source of its own. Repeated rows are packed as often as they occur.
     """
-    items = written(sized.select("row", "doc_id", F.coalesce("source", F.lit(UNKNOWN)).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens")).where("n_tokens > 0"), "packing-items")
+    # written before the filter, which would otherwise count the tokens a second time
+    items = written(sized.select("row", "doc_id", F.coalesce("source", F.lit(UNKNOWN)).alias("source"), F.col("n_tokens").cast("long").alias("n_tokens")), "packing-items").where("n_tokens > 0")
     rest = items.withColumns({"start_token": F.col("n_tokens") - F.col("n_tokens") % capacity, "rest": F.col("n_tokens") % capacity})
     totals = items.groupBy("source").agg(F.sum("n_tokens").alias("n"), F.sum(F.col("n_tokens") % capacity).alias("rest"))
     totals = {r.source: (r.n, r.rest) for r in totals.collect()}  # one row a source
