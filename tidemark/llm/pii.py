@@ -30,6 +30,8 @@ from tidemark.storage import written
 
 #: Most frequent words that are mostly written in lower case, at most so many.
 ORDINARY_WORDS = 20_000
+#: Part of all words that an ordinary word has at least.
+ORDINARY_SHARE = 5e-6
 #: Rounds of scoring patterns and instances.
 ROUNDS = 3
 #: A pattern below this share of good instances says nothing.
@@ -55,8 +57,9 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ordinary_words(counts: DataFrame, most: int = ORDINARY_WORDS) -> set[str]:
-    """Words that occur at least five times, at least 60 % of them in small letters; the ``most`` most frequent."""
-    frequent = counts.where((F.col("n") >= 5) & (F.col("small") >= 0.6 * F.col("n"))).orderBy(F.desc("n"), "word").limit(most)
+    """Words of at least five in a million, and five, of all words, 60 % in small letters; the ``most`` most frequent."""
+    least = F.greatest(F.lit(5), F.lit(ORDINARY_SHARE) * counts.agg(F.sum("n")).scalar())
+    frequent = counts.where((F.col("n") >= least) & (F.col("small") >= 0.6 * F.col("n"))).orderBy(F.desc("n"), "word").limit(most)
     return {r.word for r in frequent.select("word").collect()}
 
 
@@ -85,15 +88,16 @@ def score_names(names: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> tu
     evidence = names.where("first IS NOT NULL AND form IN ('full', 'turned')")
     pairs = evidence.groupBy("first", "second").agg(
         F.avg(_bit(surface.AFTER_DETERMINER).cast("int")).alias("determined"),
+        F.avg(_bit(surface.BEFORE_GIVEN).cast("int")).alias("greeting"),
         F.max(F.col("flag").bitwiseAND(surface.ORDINARY_GIVEN | surface.ORDINARY_FAMILY | surface.SEED_GIVEN | surface.SEED_FAMILY)).alias("flag"),
     )
-    # a family name rarely stands alone: most of its occurrences in capitals are in the form of a name
+    # a family name seldom stands alone: of its occurrences in capitals a tenth at least are in the form of a name
     word = F.element_at(F.split("second", " "), -1)
     bound = names.where("form <> 'small' AND form <> 'parted'").select(word.alias("word"), "row", "end_at").distinct().groupBy("word").agg(F.count(F.lit(1)).alias("in_names"))
-    loose = counts.join(bound, "word").where(F.col("in_names") < 0.3 * (F.col("n") - F.col("small"))).select(F.col("word").alias("loose"))
+    loose = counts.join(bound, "word").where(F.col("in_names") < 0.1 * (F.col("n") - F.col("small"))).select(F.col("word").alias("loose"))
     pairs = pairs.join(loose, word == F.col("loose"), "left")
     seed = _bit(surface.SEED_GIVEN)
-    bad = (F.col("determined") >= 0.2) | _bit(surface.ORDINARY_GIVEN) | _bit(surface.ORDINARY_FAMILY) | _bit(surface.SEED_FAMILY) | F.col("loose").isNotNull()
+    bad = (F.col("determined") >= 0.2) | (~seed & (F.col("greeting") >= 0.5)) | _bit(surface.ORDINARY_GIVEN) | _bit(surface.ORDINARY_FAMILY) | _bit(surface.SEED_FAMILY) | F.col("loose").isNotNull()
     pairs = pairs.select("first", "second", seed.alias("seed"), bad.alias("bad"))
     # a first word that stands before many given names of the list is no given name
     callers = pairs.where(~F.col("seed")).groupBy("first").agg(F.avg(F.col("bad").cast("int")).alias("share")).where("share >= 0.3").select(F.col("first").alias("caller"))

@@ -9,10 +9,10 @@ from tidemark.llm import mixing, packing, pii, tokens
 
 
 def _documents(spark: SparkSession, d: str) -> DataFrame:
-    """The posts, in as many partitions as there are task slots at least: their texts are handled in Python."""
+    """The posts, in three partitions a task slot at least: their texts are handled in Python, some at length."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
     slots = spark.sparkContext.defaultParallelism
-    return docs.repartition(3 * slots) if docs.rdd.getNumPartitions() < slots else docs
+    return docs.repartition(3 * slots) if docs.rdd.getNumPartitions() < 3 * slots else docs
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:

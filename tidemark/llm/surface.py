@@ -138,7 +138,7 @@ ADDRESS_ES = re.compile(
 ADDRESS_DE = re.compile(
     rf"(?<![\w-])(?:(?:(?:{_CAP}[ \n-]){{0,2}}[A-ZÄÖÜ][\wäöüß-]*|(?:{_CAP}[ \n-]){{1,2}})(?i:{STREET_DE})\.?|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Hinter der|Unter den|Bei der)[ \n](?:{_CAP}[ \n]){{0,2}}{_CAP})[ \n][1-9]\d{{0,3}}(?:[ ]?[a-h](?![\w]))?(?![\w.]*\d|[.,]\d)"
 )
-ADDRESS_DE_FREE = re.compile(rf"(?<![\w-])(?:(?i:am|an der|auf der|im|in der|zum|zur|hinter der|unter den)[ \n](?:[a-zäöüß]{{2,}}[ \n]){{0,2}}[a-zäöüß]{{2,}}|(?:[a-zäöüß]{{3,}}[ \n])?[a-zäöüßA-ZÄÖÜ]*(?i:straße|strasse|str|weg|gasse|allee|steig|platz|ufer|damm|pfad)\.?)[ \n][1-9]\d{{0,3}}(?:[ ]?[a-hA-H](?![\w]))?(?![\w.]*\d|[.,]\d)")
+ADDRESS_DE_FREE = re.compile(rf"(?<![\w-])(?:(?i:am|an der|auf der|im|in der|zum|zur|hinter der|unter den)[ \n](?i:(?:[a-zäöüß]{{2,}}[ \n]){{0,2}}[a-zäöüß]{{2,}})|(?:[a-zäöüß]{{3,}}[ \n])?[a-zäöüßA-ZÄÖÜ]*(?i:straße|strasse|str|weg|gasse|allee|steig|platz|ufer|damm|pfad)\.?)[ \n][1-9]\d{{0,3}}(?:[ ]?[a-hA-H](?![\w]))?(?![\w.]*\d|[.,]\d)")
 _DE_PLACES = ["am", "an der", "an den", "auf der", "auf dem", "im", "in der", "in den", "zum", "zur", "hinter der", "unter den", "bei der"]
 #: Words of which a text must have one before the pattern is tried.
 _HINTS = {
@@ -267,7 +267,7 @@ def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
                 if form:
                     yield (toks[i][1], end, form, given.lower(), fam, *around(i, last))
         # Family, Given   or   Family, X.
-        if (k in ("C", "U", "l") or k == "p") and not (i and kinds[i - 1] == "p"):
+        if (k in ("C", "U", "l") or k == "p") and not (i and (kinds[i - 1] == "p" or i > 1 and kinds[i - 2] == "p" and toks[i - 1][0].lower() in INNER_PREFIXES)):
             f = family(i)
             if f and f[3] + 2 < n and toks[f[3] + 1][0] == "," and gap(f[3]) == "":
                 fam, _, c, last = f
@@ -292,7 +292,7 @@ def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
 
 
 #: What may stand between an address and the town that follows it.
-_TOWN = re.compile(r"\.?(?:[ ,\n]*(?:#[ ]?\d+|[Aa]pt\.?[ ]\d+|\d{4,5}|\d+[ºª°][ ]?\w?))?[ ,\n]*$")
+_TOWN = re.compile(r"\.?(?:[ ,\n]*(?:#[ ]?\d+|[Aa]pt\.?[ ]\d+|\d{4,5}|\d+[ºª°][ ]?\w?))?[ ,]*\n?[ ,]*$")
 
 
 def street_core(address: str) -> str:
@@ -303,7 +303,8 @@ def street_core(address: str) -> str:
 
 
 # Bits of a name candidate's flag.
-AFTER_DETERMINER, ORDINARY_GIVEN, ORDINARY_FAMILY, SEED_GIVEN, SEED_FAMILY = 1, 2, 4, 8, 16
+AFTER_DETERMINER, ORDINARY_GIVEN, ORDINARY_FAMILY, SEED_GIVEN, SEED_FAMILY, BEFORE_GIVEN = 1, 2, 4, 8, 16, 32
+_NEXT_LINE = re.compile(r"[ ,]?\n+([^\W\d_]+(?:-[^\W\d_]+)*)(?=[ \n][^\W\d_])")
 
 
 def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) -> Iterator[tuple]:
@@ -342,8 +343,8 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
         if not _FILE_NAMES.search(m.group()):
             take(*m.span())
             yield ("email", *span(*m.span()), "email", None, None, "", "", 0)
-    for pattern, language in ((ADDRESS_FR, "fr"), (ADDRESS_ES, "es"), (ADDRESS_DE, "de"), (ADDRESS_DE_FREE, "de"), (ADDRESS_EN, "en")):
-        for m in pattern.finditer(norm) if language in hinted else ():
+    for pattern, language in ((ADDRESS_FR, "fr"), (ADDRESS_ES, "es"), (ADDRESS_DE, "de"), (ADDRESS_DE_FREE, "de free"), (ADDRESS_EN, "en")):
+        for m in pattern.finditer(norm) if language[:2] in hinted else ():
             s = m.group()
             if not free(*m.span()) or language == "en" and _STREET_STOP.search(re.sub(r"^\d+(?:-?[A-Za-z]\b)?", "", s)):
                 continue
@@ -360,7 +361,8 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
                         break
                     b = a + shorter.start()
                 continue
-            yield ("address", *span(*m.span()), language, street_core(s), None, _context(left), "", int(s != s.lower()))
+            clear = s != s.lower() and (language != "de free" or not s.isupper())
+            yield ("address", *span(*m.span()), language[:2], street_core(s), None, _context(left), "", int(clear))
     for m in NUMBER.finditer(norm):
         s = m.group()
         if not free(*m.span()) or m.lastgroup == "open" and _NOT_NUMBERS.match(s):
@@ -373,7 +375,10 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
             a += 1
         yield ("number", *span(a, b), m.lastgroup, _shape(norm[a:b]), None, _context(left), "", 0)
     for a, b, form, given, fam, left, right, det in name_candidates(norm, ordinary):
+        if fam in _TITLES or given in _TITLES:
+            continue
         if free(a, b) and not town(a) and not label(b):
             last = fam.rpartition(" ")[2]
-            flag = AFTER_DETERMINER * det | ORDINARY_GIVEN * (given in ordinary) | ORDINARY_FAMILY * (last in ordinary or last in STREET_KINDS) | SEED_GIVEN * (given in seeds) | SEED_FAMILY * (fam in seeds)
+            below = _NEXT_LINE.match(norm, b)  # a greeting stands above a name, a name does not
+            flag = BEFORE_GIVEN * bool(below and below[1].lower() in seeds) | AFTER_DETERMINER * det | ORDINARY_GIVEN * (given in ordinary) | ORDINARY_FAMILY * (last in ordinary or last in STREET_KINDS) | SEED_GIVEN * (given in seeds) | SEED_FAMILY * (fam in seeds)
             yield ("name", *span(a, b), form, given, fam, left, right, flag)
