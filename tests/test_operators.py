@@ -234,3 +234,15 @@ def test_assign_sequence(spark):
     df = spark.range(1000).select((999 - F.col("id")).alias("n"))
     got = writes.assign_sequence(df, [F.col("n")], 5).collect()
     assert sorted((r.n, r.seq) for r in got) == [(i, i + 6) for i in range(1000)]
+
+
+def test_scratch_is_cleaned(spark):
+    from tidemark import storage
+
+    before = list(storage._made)
+    storage._made.clear()
+    df = storage.written(spark.range(3).toDF("id"), "cleaning")
+    assert df.count() == 3
+    folder = storage._made[0]
+    assert storage.clean(spark) == 1 and not storage.Files(spark, folder).exists()
+    storage._made.extend(before)

@@ -29,6 +29,11 @@ def _log(spark, d) -> DataFrame:
     return oplog(_table(spark, d, "oplog"))
 
 
+def _feed(spark, d) -> DataFrame:
+    """The op-log with its repeated rows, for reads, which absorb them."""
+    return oplog(_table(spark, d, "oplog"), once=False)
+
+
 def _files(spark, d) -> DataFrame:
     return versions.fold_edits(_table(spark, d, "edits"))
 
@@ -60,23 +65,23 @@ def _query(sql: str | None):
 
 @_query(f"SELECT * FROM {_live(f'''user_key = '{KEY}' ''')}")
 def get_point(spark, d):
-    return reads.get(_log(spark, d), KEY)
+    return reads.get(_feed(spark, d), KEY)
 
 
 @_query(f"SELECT * FROM {_live(f'''user_key = '{KEY}' AND seq <= {SNAPSHOT}''')}")
 def get_point_snapshot(spark, d):
-    return reads.get(_log(spark, d), KEY, SNAPSHOT)
+    return reads.get(_feed(spark, d), KEY, SNAPSHOT)
 
 
 @_query(f"SELECT * FROM {_live('''user_key = 'no such key' ''')}")
 def get_missing(spark, d):
-    return reads.get(_log(spark, d), "no such key")
+    return reads.get(_feed(spark, d), "no such key")
 
 
 @_query(f"""SELECT a.user_key, l.seq IS NOT NULL AS found, l.seq, l.value FROM (SELECT DISTINCT user_key FROM probes WHERE user_key IS NOT NULL) a
   LEFT JOIN {_live()} l USING (user_key)""")
 def multi_get(spark, d):
-    return reads.multi_get(_log(spark, d), _table(spark, d, "probes"))
+    return reads.multi_get(_feed(spark, d), _table(spark, d, "probes"))
 
 
 @_query(f"SELECT level, file_number, size FROM {_FILES} WHERE lo_key <= '{KEY}' AND hi_key >= '{KEY}'")
@@ -95,57 +100,57 @@ def find_file(spark, d):
 
 @_query(f"SELECT * FROM {_live()}")
 def scan_live(spark, d):
-    return reads.scan(_log(spark, d))
+    return reads.scan(_feed(spark, d))
 
 
 @_query(f"SELECT * FROM {_live(f'seq <= {SNAPSHOT}')}")
 def scan_snapshot(spark, d):
-    return reads.scan(_log(spark, d), SNAPSHOT)
+    return reads.scan(_feed(spark, d), SNAPSHOT)
 
 
 @_query(f"SELECT user_key, value, row_number() OVER (ORDER BY user_key DESC) AS position FROM {_live()}")
 def scan_reverse_rank(spark, d):
-    return order.positions(reads.scan(_log(spark, d)).select("user_key", "value"), [F.desc("user_key")])
+    return order.positions(reads.scan(_feed(spark, d)).select("user_key", "value"), [F.desc("user_key")])
 
 
 @_query(f"SELECT * FROM {_live(f'''user_key >= '{LO}' AND user_key < '{HI}' AND seq <= {SNAPSHOT}''')}")
 def range_scan(spark, d):
-    return reads.range_scan(_log(spark, d), LO, HI, SNAPSHOT)
+    return reads.range_scan(_feed(spark, d), LO, HI, SNAPSHOT)
 
 
 @_query(f"SELECT * FROM {_live(f'''starts_with(user_key, '{PREFIX}')''')}")
 def prefix_scan(spark, d):
-    return reads.prefix_scan(_log(spark, d), PREFIX)
+    return reads.prefix_scan(_feed(spark, d), PREFIX)
 
 
 @_query(f"SELECT * FROM {_live()} ORDER BY user_key LIMIT 1")
 def seek_first(spark, d):
-    return reads.seek_first(reads.scan(_log(spark, d)))
+    return reads.seek_first(reads.scan(_feed(spark, d)))
 
 
 @_query(f"SELECT * FROM {_live()} ORDER BY user_key DESC LIMIT 1")
 def seek_last(spark, d):
-    return reads.seek_last(reads.scan(_log(spark, d)))
+    return reads.seek_last(reads.scan(_feed(spark, d)))
 
 
 @_query(f"SELECT * FROM {_live()} WHERE user_key >= '{LO}' ORDER BY user_key LIMIT 1")
 def seek_ge(spark, d):
-    return reads.seek(reads.scan(_log(spark, d)), LO)
+    return reads.seek(reads.scan(_feed(spark, d)), LO)
 
 
 @_query(f"SELECT * FROM {_live()} WHERE user_key > '{LO}' ORDER BY user_key LIMIT 10")
 def next_n(spark, d):
-    return reads.next_rows(reads.scan(_log(spark, d)), LO, 10)
+    return reads.next_rows(reads.scan(_feed(spark, d)), LO, 10)
 
 
 @_query(f"SELECT * FROM {_live()} WHERE user_key < '{HI}' ORDER BY user_key DESC LIMIT 10")
 def prev_n(spark, d):
-    return reads.prev_rows(reads.scan(_log(spark, d)), HI, 10)
+    return reads.prev_rows(reads.scan(_feed(spark, d)), HI, 10)
 
 
 @_query(f"SELECT user_key, lag(user_key) OVER (ORDER BY user_key) AS prev_key, lead(user_key) OVER (ORDER BY user_key) AS next_key FROM {_live()}")
 def neighbours(spark, d):
-    return order.neighbours(reads.scan(_log(spark, d)).select("user_key"), "user_key")
+    return order.neighbours(reads.scan(_feed(spark, d)).select("user_key"), "user_key")
 
 
 def _runs(spark, d) -> list[DataFrame]:
@@ -215,7 +220,7 @@ def assign_sequence(spark, d):
 
 @_query(f"SELECT user_key, seq, value FROM {_live(f'seq <= 2 * {SNAPSHOT}')} WHERE seq > {SNAPSHOT}")
 def snapshot_diff(spark, d):
-    return reads.snapshot_diff(_log(spark, d), SNAPSHOT, 2 * SNAPSHOT)
+    return reads.snapshot_diff(_feed(spark, d), SNAPSHOT, 2 * SNAPSHOT)
 
 
 @_query(f"SELECT * FROM {_FILES}")
@@ -390,7 +395,7 @@ def key_text(spark, d):
 @_query(None)
 def separators(spark, d):
     """A separator of each live key and the next, and a successor of each."""
-    near = order.neighbours(reads.scan(_log(spark, d)).select("user_key"), "user_key")
+    near = order.neighbours(reads.scan(_feed(spark, d)).select("user_key"), "user_key")
     key, after = F.col("user_key").cast("binary"), F.col("next_key").cast("binary")
     return near.select("user_key", F.hex(b.separator_of(key, after)).alias("separator"), F.hex(b.successor_of(key)).alias("successor"))
 

@@ -25,9 +25,23 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing else uses."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete what this session wrote to scratch paths. Results that were not yet read or saved are lost."""
+    n = 0
+    while _made:
+        Files(spark, _made.pop()).delete()
+        n += 1
+    return n
 
 
 def written(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
