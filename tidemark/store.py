@@ -56,6 +56,9 @@ class Options:
     max_buffer_bytes: int = 4 * MIB
     max_file_bytes: int = 2 * MIB
     auto_compact: bool = True
+    #: Point reads that a file may cost in vain before it is compacted: one for each so many bytes, and so many at least.
+    seek_bytes: int = 16 << 10
+    least_seeks: int = 100
 
 
 @dataclass(frozen=True)
@@ -148,6 +151,7 @@ class Store:
             self._snapshots: list[Snapshot] = []
             self._handles = 0
             self._pins: dict[int, int] = {}
+            self._seeks: dict[int, int] = {}  # file number: point reads left
             self._buffer: list[tuple[bytes, int, int, bytes | None]] = []  # key, -seq, op, value: in internal order
             self._buffered = 0
             self.version = Version.load(self.files.read(self.files.read("CURRENT").strip())) if existed else Version()
@@ -372,8 +376,21 @@ class Store:
         seq = self._seq(snapshot)
         key = bytes(key)
         row = reads.newest(self.log(key, key), seq).first()
+        self._charge(key)
         return bytes(row.value) if row is not None and row.op == PUT else None
 
+    def _charge(self, key: bytes) -> None:
+        """A read that had to ask a second file is charged to the first; a file out of budget is compacted."""
+        asked = sorted((m for m in self.version.files if m.meets(key, key)), key=lambda m: (m.level, -m.number))
+        if len(asked) < 2 or not self.options.auto_compact or self.failed:
+            return
+        first = asked[0]
+        left = self._seeks.get(first.number, max(self.options.least_seeks, first.size // self.options.seek_bytes)) - 1
+        self._seeks[first.number] = left
+        if left <= 0 and first.level < LEVELS - 1:
+            del self._seeks[first.number]
+            self._compact(first.level, [first])
+
     def scan(self, snapshot: Snapshot | None = None) -> DataFrame:
         return reads.scan(self.log(), self._seq(snapshot)).select("user_key", "value")
 
