@@ -12,14 +12,14 @@ all stay. No window over a key's rows is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.order import interval_sums
 from tidemark.schema import DELETE
 
 
-def keep(log: DataFrame, smallest_snapshot: int, *, covered: DataFrame | None = None) -> DataFrame:
+def keep(log: DataFrame, smallest_snapshot: int | Column, *, covered: DataFrame | None = None) -> DataFrame:
     """Operations that a compaction of all of ``log`` keeps (distinct by key and seq).
 
     ``covered``: user_key of the keys that deeper levels may hold; None means that there is none deeper.

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bloom
 from tidemark.functions import bytes as b
 from tidemark.operators import compaction, merge, order, reads, versions, writes
-from tidemark.schema import oplog
+from tidemark.schema import NEWEST, oplog
 from tidemark.sources import connectors
 from tidemark.storage import scratch
 from tidemark.store import Options, Store
@@ -353,6 +353,60 @@ def tombstone_base_level(spark, d):
     return compaction.deletes_at_base_level(deletes, _files(spark, d).where("level >= 3"))
 
 
+# --- snapshots taken from the data: they cover the same part of a log of any size
+
+_HALF = f"(SELECT max(seq) // 2 FROM {_LOG})"
+_RECENT = f"(SELECT max(seq) * 9 // 10 FROM {_LOG})"
+
+
+def _half(log: DataFrame) -> Column:
+    """Half of the greatest sequence number; null for an empty log."""
+    return log.agg(F.expr("max(seq) div 2")).scalar()
+
+
+def _recent(log: DataFrame) -> Column:
+    """Nine tenths of the greatest sequence number."""
+    return log.agg(F.expr("max(seq) * 9 div 10")).scalar()
+
+
+@_query(f"SELECT * FROM {_live(f"""user_key = '{KEY}' AND seq <= {_HALF}""")}")
+def get_point_half(spark, d):
+    return reads.get(_feed(spark, d), KEY, _half(_feed(spark, d)))
+
+
+@_query(f"SELECT * FROM {_live(f'seq <= {_HALF}')}")
+def scan_half(spark, d):
+    return reads.scan(_feed(spark, d), _half(_feed(spark, d)))
+
+
+@_query(f"SELECT * FROM {_live(f"""user_key >= '{LO}' AND user_key < '{HI}'""")}")
+def range_scan_newest(spark, d):
+    return reads.range_scan(_feed(spark, d), LO, HI)
+
+
+@_query(f"SELECT user_key, seq, value FROM {_live()} WHERE seq > {_HALF}")
+def diff_half_newest(spark, d):
+    """Live rows of the newest state that were not the same at half of the log."""
+    return reads.snapshot_diff(_feed(spark, d), _half(_feed(spark, d)), NEWEST)
+
+
+@_query(f"""SELECT user_key, seq, op, value FROM (SELECT *, lag(seq) OVER (PARTITION BY user_key ORDER BY seq DESC) AS newer FROM {_LOG})
+  WHERE (newer IS NULL OR newer > {_RECENT}) AND NOT (op = 0 AND seq <= {_RECENT})""")
+def compact_keep_recent(spark, d):
+    return compaction.keep(_log(spark, d), _recent(_feed(spark, d)))
+
+
+@_query(f"SELECT * FROM {_live()}")
+def compact_recent_then_scan(spark, d):
+    return reads.scan(compaction.keep(_log(spark, d), _recent(_feed(spark, d))))
+
+
+@_query(f"SELECT * FROM {_live(f'seq <= {_RECENT}')}")
+def compact_recent_then_scan_snapshot(spark, d):
+    recent = _recent(_feed(spark, d))
+    return reads.scan(compaction.keep(_log(spark, d), recent), recent)
+
+
 # --- statistics
 
 
