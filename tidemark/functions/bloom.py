@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 HASH_SEED = 0xBC9F1D34
 HASH_MULTIPLIER = 0xC6A4A793
 FILTER_RANGE_BYTES = 2048
+#: Keys and filters that are asked of each other at once; an array of so many words stays in a core's cache.
+KEY_BLOCK, FILTER_BLOCK = 2**14, 2**12
 
 
 def hashes(keys: Iterable[bytes]) -> np.ndarray:
@@ -85,6 +87,28 @@ def may_match(keys: list[bytes], filters: list[bytes | None]) -> np.ndarray:
     return out
 
 
+def all_matches(h: np.ndarray, filters: Iterable[bytes]) -> Iterator[np.ndarray]:
+    """For each filter, in any order, whether it may hold the key of each hash.
+
+    A key is a mask of the bits that it needs, made once for all filters of one size and number of probes.
+    """
+    alike: dict[tuple[int, int], list[bytes]] = {}
+    for f in filters:
+        alike.setdefault((f[0], len(f) - 1) if len(f) >= 2 else (0, 0), []).append(f)
+    for (k, n_bytes), group in alike.items():
+        n_words = max(1, -(-n_bytes // 8))
+        masks = np.zeros((n_words, len(h)), dtype=np.uint64)
+        if k:
+            for bit in (_probes(h, k) % np.uint32(n_bytes * 8)).T:
+                masks[bit >> np.uint32(6), np.arange(len(h))] |= np.uint64(1) << (bit & np.uint32(63)).astype(np.uint64)
+        for f in group:
+            lacks = ~np.frombuffer(f[1:].ljust(n_words * 8, b"\0"), dtype="<u8")[:n_words]
+            bad = masks[0] & lacks[0]
+            for w in range(1, n_words):
+                bad |= masks[w] & lacks[w]
+            yield bad == 0
+
+
 @F.pandas_udf(T.LongType())
 def bloom_hash(key: pd.Series) -> pd.Series:
     """Hash of binary keys as an unsigned number; null for null."""
@@ -120,13 +144,48 @@ def build_filters(keys: DataFrame, by: list[str], key: str, bits_per_key: int =
     return grouped.mapInPandas(build_one, schema)
 
 
-def filter_errors(filter_keys: DataFrame, filter_blocks: DataFrame, probes: DataFrame, asked_filters: int = 8) -> DataFrame:
+def _ask_all(keys: DataFrame, filters: DataFrame) -> DataFrame:
+    """Every key (``key``, ``inside``: in some block) against every filter, in blocks of both.
+
+    One row: the pairs answered yes, ``yes``; the keys outside, ``n_outside``, those of them to which some
+    filter says yes, ``outside_yes``; and the keys inside to which none does, ``inside_no``.
+    """
+    n_k, n_f = (max(1, -(-x.count() // size)) for x, size in ((keys, KEY_BLOCK), (filters, FILTER_BLOCK)))
+    hashed = keys.select(F.pmod(F.xxhash64("key"), F.lit(n_k)).alias("k"), bloom_hash(F.col("key").cast("binary")).alias("h"), "inside")
+    k = hashed.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("h", "inside"))).alias("_keys")).select("k", F.col("_keys.h").alias("h"), F.col("_keys.inside").alias("inside"))
+    f = filters.groupBy(F.pmod(F.xxhash64("file_number", "filter_index"), F.lit(n_f)).alias("f")).agg(F.collect_list("filter").alias("filters"))
+
+    def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for no, h, inside, fs in zip(pdf["k"], pdf["h"], pdf["inside"], pdf["filters"]):
+                said, yes = np.zeros(len(h), dtype=bool), 0
+                for match in all_matches(np.asarray(h).astype(np.uint32), [bytes(x) for x in fs]):
+                    yes += int(np.count_nonzero(match))
+                    said |= match
+                yield pd.DataFrame({"k": [no], "yes": [yes], "said": [np.packbits(said).tobytes()], "inside": [np.packbits(np.asarray(inside, dtype=bool)).tobytes()], "n": [len(h)]})
+
+    def some(pdf: pd.DataFrame) -> pd.DataFrame:
+        n = int(pdf["n"].iloc[0])
+        bits = lambda x: np.unpackbits(np.frombuffer(x, dtype=np.uint8), count=n).astype(bool)
+        said, inside = np.zeros(n, dtype=bool), bits(pdf["inside"].iloc[0])
+        for x in pdf["said"]:
+            said |= bits(x)
+        return pd.DataFrame({"yes": [int(pdf["yes"].sum())], "n_outside": [int((~inside).sum())], "outside_yes": [int((~inside & said).sum())], "inside_no": [int((inside & ~said).sum())]})
+
+    asked = k.crossJoin(f).repartition(max(1, n_k * n_f // 4), "k", "f")
+    answers = asked.select("k", "h", "inside", "filters").mapInPandas(ask, "k long, yes long, said binary, inside binary, n long")
+    sums = answers.groupBy("k").applyInPandas(some, "yes long, n_outside long, outside_yes long, inside_no long")
+    return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns])
+
+
+def filter_errors(filter_keys: DataFrame, filter_blocks: DataFrame, probes: DataFrame) -> DataFrame:
     """Measured wrong answers, one row for each who answers.
 
     ``ledger``: the exact ledger, held against a plain join over all probes.
     ``filters, own keys``: every key against the filter of its own block; a no is wrong. Lost filters deny nothing.
-    ``filters, probes``: every distinct probe key against all filters of one hashed bucket of them, about
-    ``asked_filters`` each, so the pairs grow with the probes; a yes for a key not in the block is wrong.
+    ``filters, probes``: every distinct probe key against every filter; a yes for a key not in the block is
+    wrong. The pairs grow as keys times filters.
+    ``filters, any``: every distinct probe key, asked whether any filter says yes; wrong for a key in no block.
     """
     from tidemark.operators.seen import seen_before
 
@@ -138,18 +197,22 @@ def filter_errors(filter_keys: DataFrame, filter_blocks: DataFrame, probes: Data
     said = pairs.select(key_may_match(F.col("key").cast("binary"), F.col("filter")).alias("yes"))
     report = said.agg(F.lit("filters, own keys").alias("answered_by"), F.count(F.lit(1)).alias("asked"), F.lit(0).cast("long").alias("wrong_yes"), F.count_if(~F.col("yes")).alias("wrong_no"))
 
-    n = max(1, blocks.count() // asked_filters)
     keys = probes.where(F.col("user_key").isNotNull()).select(F.col("user_key").alias("key")).distinct()
-    keys = keys.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(n)))
-    asked = keys.join(blocks.withColumn("bucket", F.pmod(F.xxhash64("file_number", "filter_index"), F.lit(n))), "bucket")
-    asked = asked.select("key", "file_number", "filter_index", key_may_match(F.col("key").cast("binary"), F.col("filter")).alias("yes"))
-    members = own.select(F.col("key").alias("_key"), "f", "i", F.lit(True).alias("_in"))
-    on = (F.col("key") == F.col("_key")) & (F.col("f") == F.col("file_number")) & (F.col("i") == F.col("filter_index"))
-    asked = asked.join(members, on, "left")
-    outside = F.col("_in").isNull()
-    report = report.unionByName(
-        asked.agg(F.lit("filters, probes").alias("answered_by"), F.count_if(outside).alias("asked"), F.count_if(outside & F.col("yes")).alias("wrong_yes"), F.count_if(~outside & ~F.col("yes")).alias("wrong_no"))
+    members = pairs.join(keys, "key", "left_semi").select("key", key_may_match(F.col("key").cast("binary"), F.col("filter")).alias("yes"))
+    marked = keys.join(members.select(F.col("key").alias("_in")).distinct(), F.col("key") == F.col("_in"), "left").select("key", F.col("_in").isNotNull().alias("inside"))
+    inside = members.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("yes").alias("pairs_yes"))
+    n = keys.agg(F.count(F.lit(1)).alias("n_keys")).crossJoin(blocks.agg(F.count(F.lit(1)).alias("n_filters")))
+    counts = _ask_all(marked, blocks).crossJoin(inside).crossJoin(n)
+    answers = F.explode(
+        F.array(
+            F.struct(
+                F.lit("filters, probes").alias("answered_by"), (F.col("n_keys") * F.col("n_filters") - F.col("pairs")).alias("asked"),
+                (F.col("yes") - F.col("pairs_yes")).alias("wrong_yes"), (F.col("pairs") - F.col("pairs_yes")).alias("wrong_no"),
+            ),
+            F.struct(F.lit("filters, any").alias("answered_by"), F.col("n_keys").alias("asked"), F.col("outside_yes").alias("wrong_yes"), F.col("inside_no").alias("wrong_no")),
+        )
     )
+    report = report.unionByName(counts.select(answers.alias("_a")).select("_a.*"))
 
     ledger = seen_before(probes, filter_keys).select(F.col("probe_id").alias("_yes")).distinct()
     p = probes.where(F.col("user_key").isNotNull() & F.col("probe_id").isNotNull()).select("probe_id", "user_key").distinct()
