@@ -11,8 +11,8 @@ Seed entities induce lexical patterns, and patterns discover further entities:
    numbers the instances are shapes, which share patterns such as the words "my ssn".
 4. Occurrences that reach the threshold are found; overlapping ones are resolved by score, then length.
 
-All statistics are counted over all texts. Only the list of given names (fixed size) and the most frequent
-ordinary words (at most ``ORDINARY_WORDS``) are shipped to the tasks; scores are joined.
+All statistics are counted over all texts. Only the list of given names (fixed size) and the
+ordinary words (at most 1 / ``ORDINARY_SHARE``, by their share) are shipped to the tasks; scores are joined.
 """
 
 from __future__ import annotations
@@ -28,9 +28,7 @@ from pyspark.sql import types as T
 from tidemark.llm import surface
 from tidemark.storage import written
 
-#: Most frequent words that are mostly written in lower case, at most so many.
-ORDINARY_WORDS = 20_000
-#: Part of all words that an ordinary word has at least.
+#: Part of all words that an ordinary word has at least; so there are at most 1 / ORDINARY_SHARE, 200,000.
 ORDINARY_SHARE = 5e-6
 #: Rounds of scoring patterns and instances.
 ROUNDS = 3
@@ -56,10 +54,10 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     return counts.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"), small.alias("small"))
 
 
-def ordinary_words(counts: DataFrame, most: int = ORDINARY_WORDS) -> set[str]:
-    """Words of at least five in a million, and five, of all words, 60 % in small letters; the ``most`` most frequent."""
+def ordinary_words(counts: DataFrame) -> set[str]:
+    """Words of at least five in a million, and five, of all words, 60 % in small letters."""
     least = F.greatest(F.lit(5), F.lit(ORDINARY_SHARE) * counts.agg(F.sum("n")).scalar())
-    frequent = counts.where((F.col("n") >= least) & (F.col("small") >= 0.6 * F.col("n"))).orderBy(F.desc("n"), "word").limit(most)
+    frequent = counts.where((F.col("n") >= least) & (F.col("small") >= 0.6 * F.col("n")))
     return {r.word for r in frequent.select("word").collect()}
 
 
