@@ -523,10 +523,16 @@ def stream_latest(spark, d):
 
 @_query("SELECT batch_no, key AS user_key, value FROM (SELECT batch_no, user_key AS key, value FROM batch WHERE op = 1 AND user_key IS NOT NULL AND value IS NOT NULL) GROUP BY ALL")
 def json_batches(spark, d):
-    """Puts as one JSON map a batch, and the maps taken apart again."""
-    puts = _table(spark, d, "batch").where("op = 1 AND user_key IS NOT NULL AND value IS NOT NULL").select("batch_no", "user_key", "value").distinct()
-    text = puts.select("batch_no", F.to_json(F.create_map("user_key", "value")).alias("json"))
-    return text.select("batch_no", F.explode(F.from_json("json", "map<string,string>")).alias("user_key", "value"))
+    """Puts as one JSON array of entries a batch, in order of key and value, and the arrays taken apart again."""
+    text = _json_of_batches(_table(spark, d, "batch"))
+    return text.select("batch_no", F.inline(F.from_json("json", "array<struct<user_key:string,value:string>>")))
+
+
+def _json_of_batches(batch: DataFrame) -> DataFrame:
+    """One row a batch: batch_no, json. Repeated puts stand once, several values of a key as several entries."""
+    puts = batch.where("op = 1 AND user_key IS NOT NULL AND value IS NOT NULL")
+    entries = F.array_sort(F.collect_set(F.struct("user_key", "value")))
+    return puts.groupBy("batch_no").agg(F.to_json(entries).alias("json"))
 
 
 def _loaded(spark, d) -> Store:
