@@ -569,3 +569,11 @@ def store_statistics(spark, d):
     with _loaded(spark, d) as store:
         store.compact_range()
         return store.statistics().select("level")
+
+
+@_query(None)
+def store_level_statistics(spark, d):
+    """The whole statistics of the loaded and compacted store; its bytes and seconds are measured, so it has no SQL."""
+    with _loaded(spark, d) as store:
+        store.compact_range()
+        return store.statistics()
