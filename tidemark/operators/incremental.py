@@ -17,7 +17,7 @@ marks, so a retry overwrites what a lost attempt left.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,21 +77,51 @@ def pending_items(headers: DataFrame, elements: DataFrame, runs: DataFrame) -> D
     return states.where(F.col("state") == PENDING)
 
 
-def pending_operations(headers: DataFrame, elements: DataFrame, runs: DataFrame) -> DataFrame:
-    """The pending items with the operation they name: seq, op, user_key, value, and the delivery it is taken from.
+def delivered_operations(headers: DataFrame, elements: DataFrame) -> DataFrame:
+    """Each item with the operation it names and when it arrived: seq, arrived_at, batch_no, op, user_key, value.
 
     Of the deliveries that carry an item, the one that arrived first is taken, then the one of least number.
     """
     h = headers.where(F.col("batch_no").isNotNull() & F.col("starting_seq_number").isNotNull() & F.col("arrived_at").isNotNull()).select("batch_no", "starting_seq_number", "arrived_at").distinct()
-    m = marks(final_states(runs))
     e = elements.where(F.col("ordinal").isNotNull()).select(F.col("batch_no").alias("_batch"), F.col("ordinal").cast("long").alias("_ordinal"), "op", "user_key", "value")
     carried = e.join(h, F.col("_batch") == F.col("batch_no"))
     content = F.struct("arrived_at", "batch_no", "op", "user_key", "value")
-    items = carried.groupBy((F.col("starting_seq_number") + F.col("_ordinal")).alias("seq")).agg(F.min(content).alias("_c")).select("seq", "_c.*")
-    states = item_states(items, m.select("done_upto").scalar(), m.select("leased_upto").scalar(), visible="arrived_at")
+    return carried.groupBy((F.col("starting_seq_number") + F.col("_ordinal")).alias("seq")).agg(F.min(content).alias("_c")).select("seq", "_c.*")
+
+
+def pending_operations(headers: DataFrame, elements: DataFrame, runs: DataFrame) -> DataFrame:
+    """The pending items with the operation they name: seq, op, user_key, value, and the delivery it is taken from."""
+    m = marks(final_states(runs))
+    states = item_states(delivered_operations(headers, elements), m.select("done_upto").scalar(), m.select("leased_upto").scalar(), visible="arrived_at")
     return states.where(F.col("state") == PENDING).select("seq", "batch_no", "op", "user_key", "value")
 
 
+def process_pending(spark: SparkSession, root: str, headers: DataFrame, elements: DataFrame, runs: DataFrame) -> DataFrame:
+    """The pending operations as the next run processes them: the past runs are replayed into a ledger below
+    ``root``, what is pending is leased, written under its range's path and reported done, and read from there.
+
+    The log holds no lease times, so a run without an end counts as expired when the next run begins.
+    """
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    past = runs.groupBy(F.col("run_id").alias("_run")).agg(F.max("logged_at").alias("at"))
+    past = final_states(runs).join(past, F.col("run_id") == F.col("_run")).where("mark IS NOT NULL")
+    past = past.select("run_id", "status", text("mark").alias("mark"), F.unix_micros(F.col("at").cast("timestamp")).alias("at")).orderBy("at", "run_id").collect()  # one row a run
+    now = max((r["at"] for r in past), default=0) / 1e6 + 1
+    ledger = WorkLedger(spark, root)
+    ledger.replay((str(r["run_id"]), r["mark"], r["status"], r["at"] / 1e6) for r in past)
+    items = delivered_operations(headers, elements)
+    upto = headers.agg(text(F.max("arrived_at"))).first()[0]
+    lease = ledger.lease("next", upto, now, 3600.0) if upto else None
+    if lease is None:
+        return items.where(F.lit(False)).drop("arrived_at")
+
+    def work(after: str | None, upto: str) -> DataFrame:
+        at = text(F.col("arrived_at"))
+        return items.where((at > after if after else F.lit(True)) & (at <= upto)).drop("arrived_at")
+
+    return spark.read.parquet(ledger.process(lease, work, lambda: now))
+
+
 class StaleLease(RuntimeError):
     """The lease of this token no longer holds."""
 
@@ -138,6 +168,19 @@ class WorkLedger:
                 done, lease = (max(done or "", lease["upto"]) if e["kind"] == "done" else done), None
         return done, lease if lease and lease["until"] > now else None
 
+    def replay(self, runs: Iterable[tuple[str, str, str, float]]) -> None:
+        """Enter past runs (owner, mark, last status, time) in order: a lease each, and its end unless it is still running."""
+        number, done = len(self.events()), self.done_upto()
+        for owner, upto, status, at in runs:
+            if done is not None and upto <= done:
+                continue  # nothing was new to it
+            token = number = number + 1
+            self._commit(token, {"kind": "lease", "owner": owner, "after": done, "upto": upto, "until": at})
+            if status != "running":
+                number += 1
+                self._commit(number, {"kind": "done" if status == "succeeded" else "released", "token": token})
+            done = upto if status == "succeeded" else done
+
     def done_upto(self) -> str | None:
         return self._fold(self.events(), float("inf"))[0]
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bloom
 from tidemark.operators import changes, incremental, seen, skew, smallfiles
+from tidemark.storage import scratch
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,6 +72,11 @@ def p4_next_operations(spark: SparkSession, d: str) -> DataFrame:
     return incremental.pending_operations(_table(spark, d, "batch_header"), _table(spark, d, "batch"), _table(spark, d, "runs"))
 
 
+def p4_processed(spark: SparkSession, d: str) -> DataFrame:
+    """The next operations, leased, written and reported done through the ledger into which ``runs`` is replayed."""
+    return incremental.process_pending(spark, scratch(spark, "ledger"), _table(spark, d, "batch_header"), _table(spark, d, "batch"), _table(spark, d, "runs"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     done = smallfiles.consolidate(_table(spark, d, "oplog"), _table(spark, d, "edits"))
     return done.replaced(spark).select("file_number")
@@ -94,7 +100,7 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p5_found, p5_consolidated_rows, p5_files)
+    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_processed, p5_found, p5_consolidated_rows, p5_files)
 }
 
 _VALID = "user_key IS NOT NULL AND seq IS NOT NULL AND op IN (0, 1)"
@@ -140,3 +146,4 @@ SQL = {
     "p5_found": f"SELECT DISTINCT file_number FROM ({_LIVE}) WHERE size < 524288",
     "p5_consolidated_rows": f"SELECT o.* FROM oplog o WHERE file_number IN (SELECT file_number FROM ({_LIVE}) WHERE size < 524288)",
 }
+SQL["p4_processed"] = SQL["p4_next_operations"]
