@@ -64,17 +64,25 @@ def p3_value_profile(spark: SparkSession, d: str) -> DataFrame:
     return skew.value_profile(_key_rows(spark, d), group=["table_name"])
 
 
+def _process(spark: SparkSession, d: str, items) -> DataFrame:
+    return incremental.process_pending(spark, scratch(spark, "work"), _table(spark, d, "batch_header"), _table(spark, d, "batch"), _table(spark, d, "runs"), items=items)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.pending_items(_table(spark, d, "batch_header"), _table(spark, d, "batch"), _table(spark, d, "runs")).select("seq")
+    """What the next run processes: ``runs`` are replayed into the ledger, what is pending is leased, written and reported done."""
+    return _process(spark, d, incremental.delivered_items).select("seq")
 
 
 def p4_next_operations(spark: SparkSession, d: str) -> DataFrame:
-    return incremental.pending_operations(_table(spark, d, "batch_header"), _table(spark, d, "batch"), _table(spark, d, "runs"))
+    """The next run's items with the operations they name."""
+    return _process(spark, d, incremental.delivered_operations).drop("visible_at")
 
 
-def p4_processed(spark: SparkSession, d: str) -> DataFrame:
-    """The next operations, leased, written and reported done through the ledger into which ``runs`` is replayed."""
-    return incremental.process_pending(spark, scratch(spark, "ledger"), _table(spark, d, "batch_header"), _table(spark, d, "batch"), _table(spark, d, "runs"))
+def p4_item_states(spark: SparkSession, d: str) -> DataFrame:
+    """How many items are pending, leased and done after the runs of the log, when it ends."""
+    items = incremental.delivered_items(_table(spark, d, "batch_header"), _table(spark, d, "batch"))
+    ledger, now = incremental.replayed(spark, scratch(spark, "work"), _table(spark, d, "runs"))
+    return incremental.item_states(items, ledger, now).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("least_seq"), F.max("seq").alias("greatest_seq"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -100,7 +108,7 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_processed, p5_found, p5_consolidated_rows, p5_files)
+    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_item_states, p5_found, p5_consolidated_rows, p5_files)
 }
 
 _VALID = "user_key IS NOT NULL AND seq IS NOT NULL AND op IN (0, 1)"
@@ -146,4 +154,6 @@ SQL = {
     "p5_found": f"SELECT DISTINCT file_number FROM ({_LIVE}) WHERE size < 524288",
     "p5_consolidated_rows": f"SELECT o.* FROM oplog o WHERE file_number IN (SELECT file_number FROM ({_LIVE}) WHERE size < 524288)",
 }
-SQL["p4_processed"] = SQL["p4_next_operations"]
+SQL["p4_item_states"] = f"""SELECT CASE WHEN visible_at <= {_DONE_UPTO} THEN 'done' ELSE 'pending' END AS state, count(*) AS n, min(seq) AS least_seq, max(seq) AS greatest_seq FROM (
+  SELECT h.starting_seq_number + b.ordinal AS seq, min(h.arrived_at) AS visible_at FROM batch b JOIN batch_header h USING (batch_no)
+  WHERE h.starting_seq_number IS NOT NULL AND h.arrived_at IS NOT NULL GROUP BY 1) GROUP BY 1"""

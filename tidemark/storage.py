@@ -6,6 +6,7 @@ Everything that several executors must see is kept under one folder. A cluster n
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -73,20 +74,45 @@ class Files:
         self.fs.mkdirs(self.path(name))
 
     def write(self, name: str, text: str, overwrite: bool = True) -> None:
-        """Write a small text; with ``overwrite=False`` an existing file raises FileExistsError."""
-        if not overwrite and self.exists(name):
-            raise FileExistsError(name)
+        """Write a small text; with ``overwrite=False`` an existing file raises FileExistsError.
+
+        Without overwriting the file appears whole or not at all, and of several writers one wins: the text
+        is written aside and renamed, or on a local file system linked, to its name.
+        """
+        self.write_bytes(name, text.encode(), overwrite)
+
+    def write_bytes(self, name: str, content: bytes, overwrite: bool = True) -> None:
+        if overwrite:
+            return self._put(name, content)
+        aside = f"{name}.{uuid.uuid4().hex}.tmp"
+        self._put(aside, content)
         try:
-            out = self.fs.create(self.path(name), overwrite)
+            if self.fs.getScheme() == "file":
+                local = lambda n: self.path(n).toUri().getPath()
+                os.link(local(aside), local(name))
+            else:
+                self._rename(aside, name, "NONE")
+        except FileExistsError:
+            raise FileExistsError(name) from None
         except Exception as e:  # the JVM's FileAlreadyExistsException
-            if not overwrite and "Exist" in str(e):
+            if "AlreadyExists" in str(e):
                 raise FileExistsError(name) from None
             raise
+        finally:
+            self.fs.delete(self.path(aside), False)
+
+    def _put(self, name: str, content: bytes) -> None:
+        out = self.fs.create(self.path(name), True)
         try:
-            out.write(bytearray(text.encode()))
+            out.write(bytearray(content))
         finally:
             out.close()
 
+    def _rename(self, old: str, new: str, how: str) -> None:
+        options = self.jvm.org.apache.hadoop.fs.Options.Rename
+        array = _array(self.jvm, options, [getattr(options, how)])
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf).rename(self.path(old), self.path(new), array)
+
     def read(self, name: str) -> str:
         stream = self.fs.open(self.path(name))
         try:
@@ -94,14 +120,18 @@ class Files:
         finally:
             stream.close()
 
+    def read_bytes(self, name: str) -> bytes:
+        stream = self.fs.open(self.path(name))
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+        finally:
+            stream.close()
+
     def publish(self, name: str, text: str) -> None:
         """Replace ``name`` in one step: a temporary file renamed over it."""
         temporary = f"{name}.{uuid.uuid4().hex}.tmp"
         self.write(temporary, text)
-        options = self.jvm.org.apache.hadoop.fs.Options.Rename
-        array = _array(self.jvm, options, [options.OVERWRITE])
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.path("").toUri(), self.conf)
-        context.rename(self.path(temporary), self.path(name), array)
+        self._rename(temporary, name, "OVERWRITE")
 
     def rename(self, old: str, new: str) -> None:
         if not self.fs.rename(self.path(old), self.path(new)):
@@ -113,6 +143,12 @@ class Files:
             return []
         return sorted((s.getPath().getName(), s.getLen()) for s in self.fs.listStatus(self.path(name)) if s.isFile())
 
+    def folders(self, name: str = "") -> list[str]:
+        """Names of the folders directly below ``name``; empty when it is missing."""
+        if not self.exists(name):
+            return []
+        return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name)) if s.isDirectory())
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.path(name), True)
 
