@@ -41,6 +41,35 @@ def test_seen_before_of_empty_tables(spark):
     assert [r.probe_id for r in seen.seen_before(some, h, buckets=2).collect()] == [2]
 
 
+def test_ledger_answers_again_and_after_reopening(spark, tmp_path):
+    path = f"file://{tmp_path}/ledger"
+    frame = lambda rows: spark.createDataFrame(rows, "probe_id long, user_key string")
+    ask = lambda rows, no, n=8: sorted(map(tuple, seen.KeyLedger(spark, path, buckets=3, most_generations=n).ask(frame(rows), "user_key", "probe_id", no).select("user_key", "probe_id").collect()))
+    seen.KeyLedger(spark, path, buckets=3).load(frame([(0, "old")]), "user_key")
+    first = [(1, "x"), (2, "x"), (3, "old"), (4, None)]
+    assert ask(first, "one") == [("x", 1)]
+    assert ask(first, "one") == [("x", 1)]  # the job was lost and runs again
+    assert ask([(5, "x"), (6, "y")], "two") == [("y", 6)]
+    for row in spark.sql("SHOW TABLES").collect():  # as in a new session
+        if row.tableName.startswith("key_ledger_"):
+            spark.sql(f"DROP TABLE {row.tableName}")
+    assert ask([(7, "y"), (8, "old"), (9, "z")], "three", 2) == [("z", 9)]
+    ledger = seen.KeyLedger(spark, path)
+    assert len(ledger.history()) == 1 and ledger.buckets == 3  # merged
+    ledger.clean()
+    assert ask(first, "one") == [("x", 1)] and ask([(10, "z")], "four") == []
+
+
+def test_a_batch_lost_before_its_manifest_is_asked_anew(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/ledger"
+    batch = spark.createDataFrame([(1, "x")], "probe_id long, user_key string")
+    with monkeypatch.context() as m:
+        m.setattr(seen.KeyLedger, "_publish", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            seen.KeyLedger(spark, path, buckets=2).ask(batch, "user_key", "probe_id", "one")
+    assert seen.KeyLedger(spark, path, buckets=2).ask(batch, "user_key", "probe_id", "one").count() == 1
+
+
 # --- hot keys
 
 

@@ -9,12 +9,12 @@ multiset checksum, and only an equal result is committed, by one exclusive creat
 from __future__ import annotations
 
 import json
-from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import settings
 from tidemark.storage import Files, scratch
 
 TARGET_BYTES = 2 * 1024 * 1024
@@ -58,23 +58,10 @@ def multiset_checksum(df: DataFrame, columns: list[str] | None = None) -> tuple[
     return tuple(x or 0 for x in r)
 
 
-@contextmanager
-def _settings(spark: SparkSession, **values: str):
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    old = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in old.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def rebalanced_write(rows: DataFrame, path: str, target_bytes: int = TARGET_BYTES, shuffled_per_stored: float = SHUFFLED_PER_STORED) -> None:
     """Write ``rows`` as Parquet files near ``target_bytes``, by what the shuffle turns out to hold."""
     spark = rows.sparkSession
-    with _settings(
+    with settings(
         spark,
         spark__sql__adaptive__enabled="true",
         spark__sql__adaptive__coalescePartitions__parallelismFirst="false",

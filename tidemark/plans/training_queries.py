@@ -34,8 +34,32 @@ def _elements(spark: SparkSession, d: str) -> DataFrame:
     return e.join(starts, F.col("batch_no") == F.col("_no")).select("user_key", (F.col("starting_seq_number") + F.col("ordinal")).alias("seq"), "op", "value")
 
 
+#: Batches in which the probes are asked of the ledger, one after the other in order of arrival.
+PROBE_BATCHES = 3
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return seen.seen_before(_table(spark, d, "probes"), _table(spark, d, "filter_keys")).select("probe_id").distinct()
+    """The probes are asked of a ledger that holds the filters' keys, in batches by order of arrival."""
+    probes = _table(spark, d, "probes")
+    batches = seen.cut_points(probes, "probe_id", PROBE_BATCHES)
+    return seen.seen_before(probes, _table(spark, d, "filter_keys"), batches=batches).select("probe_id").distinct()
+
+
+def p2_new_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The ledger itself after all probes: each key once, with the probe that brought it or none for the filters' keys.
+
+    The ledger is reopened for each batch and asked each batch twice, as after a lost job.
+    """
+    probes, path = _table(spark, d, "probes"), scratch(spark, "ledger")
+    bounds = [None, *seen.cut_points(probes, "probe_id", PROBE_BATCHES), None]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        ledger = seen.KeyLedger(spark, path, most_generations=2)
+        ledger.load(_table(spark, d, "filter_keys"), "user_key")
+        part = probes.where((F.col("probe_id") > low if low is not None else F.lit(True)) & (F.col("probe_id") <= high if high is not None else F.lit(True)))
+        for _ in range(2):
+            ledger.ask(part, "user_key", "probe_id", f"batch {i}")
+    ids = [seen.HISTORY, *(f"batch {i}" for i in range(len(bounds) - 1))]
+    return ledger.new_keys(ids, "user_key", "probe_id")
 
 
 def p2_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
@@ -108,7 +132,7 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_item_states, p5_found, p5_consolidated_rows, p5_files)
+    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_new_keys, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_item_states, p5_found, p5_consolidated_rows, p5_files)
 }
 
 _VALID = "user_key IS NOT NULL AND seq IS NOT NULL AND op IN (0, 1)"
@@ -132,6 +156,9 @@ SQL = {
   f AS (SELECT user_key, min(probe_id) AS first FROM probes WHERE user_key IS NOT NULL GROUP BY 1)
   SELECT DISTINCT p.probe_id FROM probes p JOIN f USING (user_key) LEFT JOIN k USING (user_key)
   WHERE k.user_key IS NOT NULL OR p.probe_id > f.first""",
+    "p2_new_keys": """SELECT user_key, CASE WHEN k.user_key IS NULL THEN f.first END AS probe_id
+  FROM (SELECT DISTINCT user_key FROM filter_keys WHERE user_key IS NOT NULL) k
+  FULL JOIN (SELECT user_key, min(probe_id) AS first FROM probes WHERE user_key IS NOT NULL GROUP BY 1) f USING (user_key)""",
     "p3_found": f"""WITH r AS ({_KEY_ROWS}), n AS (SELECT table_name, user_key, count(*) AS n FROM r WHERE user_key IS NOT NULL GROUP BY 1, 2)
   SELECT table_name, user_key FROM (SELECT *, sum(n) OVER (PARTITION BY table_name) AS total FROM n) WHERE n > 0.01 * total""",
     "p3_key_statistics": f"""SELECT table_name, user_key, count(*) AS n_rows, count(*) FILTER (WHERE op = 1) AS n_puts,

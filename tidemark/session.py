@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,17 @@ def local_session(cores: str = "8", app: str = "tidemark", partitions: int = 8,
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+@contextmanager
+def settings(spark: SparkSession, **values: str):
+    """Settings of the session (``__`` for a point) for what runs within."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    old = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
