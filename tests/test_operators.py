@@ -225,16 +225,49 @@ def test_live_and_small_files(spark):
     assert sorted((r.file_number, r.size) for r in smallfiles.small_files(df).collect()) == [(1, 200), (6, 0), (7, 3)]
 
 
-def test_consolidate(spark, tmp_path):
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+def test_consolidate(spark, tmp_path, broadcast_bytes):
     rows = [(i % 5, f"k{i % 7}", None if i % 3 else "v", i) for i in range(200)] + [(1, "k", None, 1)] * 3 + [(None, "x", "y", 0)]
     df = spark.createDataFrame(rows, "file_number long, user_key string, value string, _file long")
     edits = spark.createDataFrame([(1, "add", 0, 1, 10), (2, "add", 0, 3, 10), (3, "add", 0, 2, 10**7), (4, "add", 0, 99, 10)], EDITS)
-    done = smallfiles.consolidate(df, edits, path=f"file://{tmp_path}/c")
+    done = smallfiles.consolidate(df, edits, path=f"file://{tmp_path}/c", broadcast_bytes=broadcast_bytes)
     want = sorted((r for r in rows if r[0] in (1, 3)), key=repr)
     assert sorted((tuple(r) for r in done.rows(spark).collect()), key=repr) == want
-    assert sorted(r.file_number for r in done.replaced(spark).collect()) == [1, 3, 99]
-    with pytest.raises(FileExistsError):
-        smallfiles.Files(spark, done.path).write("COMMIT.json", "", overwrite=False)
+    assert sorted(map(tuple, done.replaced(spark).collect())) == [(1, 10, 43), (3, 10, 40), (99, 10, 0)]
+    again = smallfiles.consolidate(df.limit(0), edits, path=done.path)  # a repeated call finds the commit
+    assert again == done and again.rows(spark).count() == 83
+    change = done.edits(spark, edits)
+    assert sorted(r.file_number for r in change.where("kind = 'delete'").collect()) == [1, 3, 99]
+    adds = change.where("kind = 'add'").collect()
+    assert adds and min(r.file_number for r in adds) > 99 and {r.name for r in adds} <= {n for n, _ in smallfiles.Files(spark, done.path).list(f"{done.attempt}/data")}
+
+
+def test_the_first_commit_counts(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/c"
+    edits = spark.createDataFrame([(1, "add", 0, 1, 10)], EDITS)
+    rows = lambda n: spark.createDataFrame([(1, str(i)) for i in range(n)], "file_number long, v string")
+    opened, real = [], smallfiles.Consolidation.open
+
+    def late(spark, path):
+        """The other attempt commits after this one has looked."""
+        opened.append(1)
+        if len(opened) == 1:
+            smallfiles.consolidate(rows(3), edits, path=path)
+            return None
+        return real(spark, path)
+
+    monkeypatch.setattr(smallfiles.Consolidation, "open", staticmethod(late))
+    done = smallfiles.consolidate(rows(7), edits, path=path)
+    assert done.rows(spark).count() == 3 and len(smallfiles.Files(spark, path).folders()) == 1
+
+
+def test_a_difference_is_not_committed(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(1, "k")], "file_number long, user_key string")
+    edits = spark.createDataFrame([(1, "add", 0, 1, 10)], EDITS)
+    monkeypatch.setattr(smallfiles, "rebalanced_write", lambda rows, path, *a, **k: rows.union(rows).write.parquet(path))
+    with pytest.raises(RuntimeError):
+        smallfiles.consolidate(df, edits, path=f"file://{tmp_path}/c")
+    assert smallfiles.Consolidation.open(spark, f"file://{tmp_path}/c") is None
 
 
 def test_consolidate_nothing(spark, tmp_path):

@@ -109,30 +109,47 @@ def p4_item_states(spark: SparkSession, d: str) -> DataFrame:
     return incremental.item_states(items, ledger, now).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("least_seq"), F.max("seq").alias("greatest_seq"))
 
 
+def _consolidated(spark: SparkSession, d: str) -> smallfiles.Consolidation:
+    return smallfiles.consolidate(_table(spark, d, "oplog"), _table(spark, d, "edits"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    done = smallfiles.consolidate(_table(spark, d, "oplog"), _table(spark, d, "edits"))
-    return done.replaced(spark).select("file_number")
+    """The files that the consolidation replaced, from its commit."""
+    return _consolidated(spark, d).replaced(spark).select("file_number")
+
+
+def p5_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """The replaced files with their size and the number of their rows, as counted in the new files."""
+    return _consolidated(spark, d).replaced(spark)
 
 
 def p5_consolidated_rows(spark: SparkSession, d: str) -> DataFrame:
     """The rows in the consolidated files: exactly those that the op-log has in the small ones."""
-    return smallfiles.consolidate(_table(spark, d, "oplog"), _table(spark, d, "edits")).rows(spark)
+    return _consolidated(spark, d).rows(spark)
+
+
+def p5_live_after(spark: SparkSession, d: str) -> DataFrame:
+    """Level and number of the old files that are live once the consolidation's edits are applied."""
+    edits = _table(spark, d, "edits")
+    old = edits.select("edit_no", "kind", "level", "file_number", "size")
+    change = _consolidated(spark, d).edits(spark, edits)
+    after = smallfiles.live_files(old.unionByName(change.select(old.columns)))
+    new = change.where("kind = 'add'").select(F.col("file_number").alias("_new"))
+    return after.join(new, F.col("file_number") == F.col("_new"), "left_anti").select("level", "file_number")
 
 
 def p5_files(spark: SparkSession, d: str) -> DataFrame:
     """Number, rows and bytes of the files that the consolidation wrote, and of those that it replaces."""
-    done = smallfiles.consolidate(_table(spark, d, "oplog"), _table(spark, d, "edits"))
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    new = done.rows(spark).groupBy(name.alias("file"), F.col("_metadata.file_size").alias("n_bytes")).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit("written").alias("which"), "n_bytes", "n_rows")
-    small = _table(spark, d, "oplog").groupBy(F.col("file_number").alias("_f")).agg(F.count(F.lit(1)).alias("n"))
-    old = done.replaced(spark).join(small, F.col("file_number") == F.col("_f"), "left").select(F.lit("replaced").alias("which"), F.col("size").alias("n_bytes"), F.coalesce("n", F.lit(0)).alias("n_rows"))
+    done = _consolidated(spark, d)
+    new = done.files(spark).select(F.lit("written").alias("which"), F.col("size").alias("n_bytes"), "n_rows")
+    old = done.replaced(spark).select(F.lit("replaced").alias("which"), F.col("size").alias("n_bytes"), "n_rows")
     files = new.unionByName(old).groupBy("which").agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_rows").alias("n_rows"), F.min("n_bytes").alias("least_bytes"), F.percentile("n_bytes", F.lit(0.5)).alias("median_bytes"), F.max("n_bytes").alias("most_bytes"))
     return files
 
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_new_keys, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_item_states, p5_found, p5_consolidated_rows, p5_files)
+    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_new_keys, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_item_states, p5_found, p5_replaced, p5_consolidated_rows, p5_live_after, p5_files)
 }
 
 _VALID = "user_key IS NOT NULL AND seq IS NOT NULL AND op IN (0, 1)"
@@ -143,7 +160,7 @@ _KEY_ROWS = """SELECT 'oplog' AS table_name, user_key, seq, op, value FROM oplog
   UNION ALL SELECT 'batch', b.user_key, h.s + b.ordinal, b.op, b.value FROM batch b
   LEFT JOIN (SELECT batch_no, max(starting_seq_number) AS s FROM batch_header GROUP BY 1) h USING (batch_no)"""
 _DONE_UPTO = """(SELECT max(read_upto) FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY logged_at DESC) AS rn FROM runs) WHERE rn = 1 AND status = 'succeeded')"""
-_LIVE = """SELECT file_number, size FROM (SELECT *, row_number() OVER (PARTITION BY file_number, level ORDER BY edit_no DESC) AS rn
+_LIVE = """SELECT level, file_number, size FROM (SELECT *, row_number() OVER (PARTITION BY file_number, level ORDER BY edit_no DESC) AS rn
   FROM edits WHERE file_number IS NOT NULL AND lower(trim(kind)) IN ('add', 'delete')) WHERE rn = 1 AND lower(trim(kind)) = 'add'"""
 _PERCENTILE = "min(len) FILTER (WHERE upto >= greatest(1, ceil(n * {p})))"
 
@@ -179,6 +196,9 @@ SQL = {
     ORDER BY arrived_at, batch_no, op NULLS FIRST, user_key NULLS FIRST, value NULLS FIRST) AS rn FROM c)
   WHERE rn = 1 AND arrived_at > {_DONE_UPTO}""",
     "p5_found": f"SELECT DISTINCT file_number FROM ({_LIVE}) WHERE size < 524288",
+    "p5_replaced": f"""SELECT f.file_number, f.size, coalesce(o.n, 0) AS n_rows FROM (SELECT file_number, min(size) AS size FROM ({_LIVE}) WHERE size < 524288 GROUP BY 1) f
+  LEFT JOIN (SELECT file_number, count(*) AS n FROM oplog GROUP BY 1) o USING (file_number)""",
+    "p5_live_after": f"SELECT level, file_number FROM ({_LIVE}) WHERE file_number NOT IN (SELECT file_number FROM ({_LIVE}) WHERE size < 524288)",
     "p5_consolidated_rows": f"SELECT o.* FROM oplog o WHERE file_number IN (SELECT file_number FROM ({_LIVE}) WHERE size < 524288)",
 }
 SQL["p4_item_states"] = f"""SELECT CASE WHEN visible_at <= {_DONE_UPTO} THEN 'done' ELSE 'pending' END AS state, count(*) AS n, min(seq) AS least_seq, max(seq) AS greatest_seq FROM (
