@@ -25,12 +25,34 @@ def test_fit(budget):
     r = random.Random(7)
     counts = {r.randrange(1, 400): r.randrange(1, 30) for _ in range(60)}
     total = sum(a * n for a, n in counts.items())
-    whole, extra = mixing.fit(counts, budget, 3, knapsack_tokens=500)
-    got = whole * total + sum(a * k for a, k in extra.items())
-    assert got <= budget and whole + bool(extra) <= 3 and all(k <= counts[a] for a, k in extra.items())
+    copies = mixing.fit(counts, budget, 3, knapsack_tokens=500)
+    got = sum(a * k for a, k in copies.items())
+    assert got <= budget and all(k <= 3 * counts[a] for a, k in copies.items())
     assert got == min(budget, 3 * total) or budget < min(counts)
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 3), min_size=1, max_size=3), st.integers(0, 80), st.integers(1, 3))
+def test_fit_is_as_near_as_any_choice(counts, budget, repeats):
+    copies = mixing.fit(counts, budget, repeats)
+    assert all(k <= repeats * counts[a] for a, k in copies.items())
+    sums = (sum(a * k for a, k in zip(counts, pick)) for pick in itertools.product(*[range(repeats * n + 1) for n in counts.values()]))
+    assert sum(a * k for a, k in copies.items()) == max(x for x in sums if x <= budget)
+
+
+def test_a_post_longer_than_the_budget_costs_nothing():
+    counts = {9_619: 1, 36: 51}
+    assert sum(a * k for a, k in mixing.fit(counts, 3_700, 4).items()) == 3_672
+    assert mixing.fit({10: 3}, 40, 2) == {10: 4} and mixing.fit({10: 3}, 25, 2) == {10: 2}
+
+
+def test_shares_report_their_deviation(spark):
+    docs = [("a", 10)] * 100 + [("b", 10)] * 10
+    _, shares = mixed(spark, docs, [("a", 0.5, 1), ("b", 0.5, 2)], total_tokens=1000)
+    assert shares["b"].reached_tokens == 200 and shares["a"].reached_tokens == 500
+    assert not shares["a"].met and abs(shares["a"].deviation - (5 / 7 - 0.5)) < 1e-9 and shares["a"].missing_tokens == 0
+
+
 def test_total(spark):
     assert mixing.greatest_total([(0.5, 100, 1), (0.5, 100, 1)], 0.05) == 200
     assert mixing.greatest_total([(0.5, 100, 1), (0.5, 0, 1)], 0.05) == 100
@@ -51,7 +73,7 @@ def test_mix_meets_targets_and_reports(spark):
     targets = [("big", 0.5, 1), ("small", 0.2, 4), ("none", 0.3, 2), (None, 0.1, 1)]
     copies, shares = mixed(spark, docs, targets, total_tokens=20_000)
     small = sum(n for s, n in docs if s == "small")
-    assert shares["big"].reached_tokens == 10_000 == sum(docs[i][1] * c for i, c in copies.items() if docs[i][0] == "big") and shares["big"].met
+    assert shares["big"].reached_tokens == 10_000 == sum(docs[i][1] * c for i, c in copies.items() if docs[i][0] == "big")
     assert shares["small"].reached_tokens == min(4000, 4 * small) and shares["small"].most_copies <= 4
     assert shares["none"].reached_tokens == 0 and not shares["none"].met and shares["none"].missing_tokens == 6000
     assert abs(sum(s.reached_share for s in shares.values()) - 1) < 1e-9

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, tokens
@@ -51,8 +53,59 @@ def test_containers_are_mixed(spark):
 def test_accounts_are_carried_over():
     owed = {"a": 300.0, "b": -300.0}
     items = [("a", 10, i) for i in range(60)] + [("b", 10, 100 + i) for i in range(60)]
-    first = packing.pack_shard(items, {"a": 0.5, "b": 0.5}, owed, 100)[0]
-    assert all(s == "a" for s, _, _ in first)
+    first, account = next(packing.pack_shard(items, None, owed, 100))
+    assert all(s == "a" for s, _, _ in first) and account == {"a": 250.0, "b": -250.0}
+
+
+def test_sources_are_dealt_evenly_to_shards(spark):
+    r = random.Random(4)
+    rows = [("a", r.randrange(1, 90)) for _ in range(4000)] + [("b", r.randrange(1, 90)) for _ in range(400)] + [("c", 5)] * 7
+    places = packing.pack(sized(spark, rows), capacity=100, shard_tokens=20_000).collect()
+    check(places, rows, 100)
+    per = {}
+    for p in places:
+        per.setdefault(p.container >> 32, {}).setdefault(p.source, []).append(p.n_tokens)
+    assert len(per) > 8
+    whole = sum(n for _, n in rows)
+    for source in "ab":
+        share = sum(n for s, n in rows if s == source) / whole
+        assert all(abs(sum(h.get(source, [])) / sum(map(sum, h.values())) - share) < 0.03 for h in per.values())
+
+
+def test_the_last_containers_are_mixed_like_the_first():
+    r = random.Random(5)
+    items = [(s, min(400, int(r.expovariate(1 / 60)) + 1), i) for i, s in enumerate(r.choices(["a", "b", "c"], [6, 3, 1], k=6000))]
+    whole = sum(n for _, n, _ in items)
+    target = {s: sum(n for t, n, _ in items if t == s) / whole for s in "abc"}
+    off = []
+    for container, _ in packing.pack_shard(items, None, {}, 2048):
+        size = sum(n for _, n, _ in container)
+        off.append(sum(abs(sum(n for t, n, _ in container if t == s) / size - target[s]) for s in target) / 2)
+    tenth = len(off) // 10
+    assert len(off) == -(-whole // 2048) and sum(off) / len(off) < 0.1 and sum(off[-tenth:]) / tenth < 0.15
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.integers(1, 40)), max_size=60), st.booleans())
+def test_no_container_is_overfull(rows, shares):
+    items = [(s, n, i) for i, (s, n) in enumerate(rows)]
+    out = [c for c, _ in packing.pack_shard(items, {"a": 0.7, "b": 0.3} if shares else None, {}, 40)]
+    assert sorted(x for c in out for x in c) == sorted(items) and all(c and sum(n for _, n, _ in c) <= 40 for c in out)
+
+
+def test_repeated_long_rows_have_containers_of_their_own(spark):
+    df = spark.createDataFrame([(7, 7, "a", 5000)] * 3, SIZED)
+    places = packing.pack(df)
+    assert packing.overfull(places).count() == 0 and packing.containers(places).where("fill = 1").count() == 6
+    assert packing.mixture(places).agg(F.sum("target_tokens")).first()[0] == 15000
+    assert all(r.off_target == 0 for r in packing.containers(places).collect())
+
+
+def test_sums_before(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SUM_BLOCK", 4)
+    rows = [(g, i, (i * 7) % 5) for g in "xy" for i in range(0, 23, 1 if g == "x" else 3)]
+    got = packing.sums_before(spark.createDataFrame(rows, "g string, i long, v long"), ["g"], "i", "v", "b").collect()
+    assert {(r.g, r.i): r.b for r in got} == {(g, i): sum(v for h, j, v in rows if h == g and j < i) for g, i, _ in rows}
 
 
 def test_edges(spark):

@@ -2,8 +2,9 @@
 
 Documents are counted by source and exact token length. From the counts alone a plan is made for each
 source: whole copies of all documents, then a proportional part of every length, then a bounded knapsack
-by dynamic programming that hits the remaining budget exactly where that is possible. The plan says how
-many documents of each length get one more copy; which ones is decided by a seeded hash.
+by dynamic programming over the copies still allowed, which hits the remaining budget exactly where that is
+possible. The plan says how often the documents of each length are used, no document more than once oftener
+than another of its length; which ones get the one copy more is decided by a seeded hash.
 """
 
 from __future__ import annotations
@@ -16,10 +17,14 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import written
 
-#: Budget left for the dynamic programming, in tokens; the part before it is taken proportionally.
+#: Budget left for the dynamic programming, in tokens; the part before it is taken proportionally. Where that
+#: misses the budget, four times as much is tried, up to the most.
 KNAPSACK_TOKENS = 32_768
+MOST_KNAPSACK_TOKENS = 524_288
 #: Part of the mix that may lack when its total is chosen.
 TOLERATED_LACK = 0.05
+#: A target is met when the share reached differs from it by no more than this.
+SHARE_TOLERANCE = 0.005
 _BUCKET_BITS = 12
 
 
@@ -56,19 +61,47 @@ def knapsack(counts: dict[int, int], budget: int) -> dict[int, int]:
     return taken
 
 
-def fit(counts: dict[int, int], budget: int, max_repeats: int, knapsack_tokens: int = KNAPSACK_TOKENS) -> tuple[int, dict[int, int]]:
-    """(whole copies of every document, number of documents of each length with one copy more)."""
-    total = sum(length * n for length, n in counts.items())
-    if total == 0 or budget <= 0 or max_repeats <= 0:
-        return 0, {}
+def fit(counts: dict[int, int], budget: int, max_repeats: int, knapsack_tokens: int = KNAPSACK_TOKENS) -> dict[int, int]:
+    """How many copies in all to use of the documents of each length, no document more than ``max_repeats`` times.
+
+    Documents longer than the budget are out. The others are used as often as all of them fit, the rest of
+    the budget is filled with as few repeats as hit it exactly, or else come nearest.
+    """
+    usable = {length: n for length, n in counts.items() if 0 < length <= budget and n > 0}
+    total = sum(length * n for length, n in usable.items())
+    if not total or max_repeats <= 0:
+        return {}
     whole = min(budget // total, max_repeats)
+    base = {length: n * whole for length, n in usable.items()}
     left = budget - whole * total
     if whole == max_repeats or left == 0:
-        return whole, {}
+        return {length: k for length, k in base.items() if k}
+    step = math.gcd(*usable)
+    best: tuple[int, dict[int, int]] | None = None
+    window = knapsack_tokens
+    while True:
+        for cap in range(whole + 1, max_repeats + 1):
+            extra = _fill({length: n * (cap - whole) for length, n in usable.items()}, left, window)
+            lack = left - sum(length * k for length, k in extra.items())
+            if best is None or lack < best[0]:
+                best = lack, extra
+            if lack < step:
+                break
+        # no sum lies nearer, or everything was in the knapsack
+        if best[0] < step or window >= min(left, MOST_KNAPSACK_TOKENS):
+            break
+        window *= 4
+    taken = {length: base[length] + best[1].get(length, 0) for length in usable}
+    return {length: k for length, k in taken.items() if k}
+
+
+def _fill(free: dict[int, int], left: int, knapsack_tokens: int) -> dict[int, int]:
+    """So many of each length, of those ``free``, that their sum comes near ``left`` from below."""
+    total = sum(length * n for length, n in free.items())
     head = max(0, left - knapsack_tokens)
-    extra = {length: int(n * head / total) for length, n in counts.items()}
+    extra = {length: min(n, int(n * head / total)) for length, n in free.items()}
     left -= sum(length * k for length, k in extra.items())
-    free = {length: n - extra[length] for length, n in counts.items()}
+    free = {length: n - extra[length] for length, n in free.items()}
     # with very many distinct lengths the rounding alone leaves more than the knapsack takes
     for length in sorted(free, reverse=True):
         k = min(free[length], max(0, left - knapsack_tokens) // length)
@@ -77,7 +110,7 @@ def fit(counts: dict[int, int], budget: int, max_repeats: int, knapsack_tokens:
         left -= k * length
     for length, k in knapsack({length: n for length, n in free.items() if n}, left).items():
         extra[length] += k
-    return whole, {length: k for length, k in extra.items() if k}
+    return extra
 
 
 def greatest_total(targets: list[tuple[float, int, int]], tolerated_lack: float) -> int:
@@ -123,8 +156,9 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
 
     def fit_source(pdf: pd.DataFrame) -> pd.DataFrame:  # one row a distinct length
         n = {int(a): int(b) for a, b in zip(pdf["n_tokens"], pdf["n_docs"])}
-        whole, extra = fit(n, int(pdf["budget_tokens"].iloc[0]), int(pdf["max_repeats"].iloc[0]))
-        return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf["n_tokens"], "n_docs": pdf["n_docs"], "whole": whole, "extra": [extra.get(int(a), 0) for a in pdf["n_tokens"]]})
+        copies = fit(n, int(pdf["budget_tokens"].iloc[0]), int(pdf["max_repeats"].iloc[0]))
+        of = [divmod(copies.get(a, 0), n[a]) for a in n]
+        return pd.DataFrame({"source": pdf["source"], "n_tokens": pdf["n_tokens"], "n_docs": pdf["n_docs"], "whole": [w for w, _ in of], "extra": [x for _, x in of]})
 
     fitted = rows.groupBy("source").applyInPandas(fit_source, "source string, n_tokens long, n_docs long, whole long, extra long")
     return wanted, written(fitted, "mix-plan")
@@ -135,7 +169,8 @@ def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
 
     ``sized`` as of ``tokens.sized``. Documents without tokens, without source or of a source without
     target are not in the mix; repeated rows are documents of their own. A source that cannot meet its
-    target gives all it may. Within a length the documents of least seeded hash are taken; the ranks are
+    budget gives all it may, and what it lacks raises the shares of the others: ``deviation`` is the share
+    reached less the target, and ``met`` says whether it stays within ``SHARE_TOLERANCE``. Within a length the documents of least seeded hash are taken; the ranks are
     counted by hash bucket first, so no task sorts all documents of one length.
     """
     sized = written(sized, "mix-sized")
@@ -161,4 +196,5 @@ def mix(sized: DataFrame, targets: DataFrame, *, total_tokens: int | None = None
     shares = wanted.join(reached, F.col("source") == F.col("_s"), "left").drop("_s").fillna({"reached_tokens": 0, "most_copies": 0})
     total = F.sum("reached_tokens").over(Window.partitionBy())  # one row a target
     shares = shares.withColumn("reached_share", F.when(total > 0, F.col("reached_tokens") / total).otherwise(0.0)).withColumn("missing_tokens", F.col("budget_tokens") - F.col("reached_tokens"))
-    return mixed, shares.withColumn("met", F.col("missing_tokens") == 0)
+    shares = shares.withColumn("deviation", F.col("reached_share") - F.col("target_share"))
+    return mixed, shares.withColumn("met", F.abs("deviation") <= SHARE_TOLERANCE)
