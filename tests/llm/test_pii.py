@@ -108,6 +108,42 @@ def test_no_documents_and_no_names(spark):
 def test_readable_keeps_offsets():
     text = "a<b>b</b>&amp;c\r\n> > d  é ０x​y &bogus; <br/>\n| z"
     norm, at = surface.readable(text)
-    assert norm == "ab&c\nd é 0xy &bogus; \nz" and len(at) == len(norm) + 1
-    for c, i in zip(norm, at):
-        assert c in "\n &0é" or text[i] == c
+    assert norm == "ab&c\nd é 0xy &bogus; \nz" and at[len(norm)] == len(text)
+    for i, c in enumerate(norm):
+        assert c in "\n &0é" or text[at[i]] == c
+
+
+def test_long_tags_are_no_words(spark):
+    tag = f"<span title='{'Quorra Vantage ' * 100}'>"
+    norm, at = surface.readable(f"a{tag}b<{'x' * 1000}")
+    assert norm.startswith("ab<") and at[1] == 1 + len(tag)
+    words = pii.word_counts(spark.createDataFrame([(f"a word {tag} {'y' * 60} {tag}",)], "text string"))
+    assert {r.word for r in words.collect()} == {"word", "y" * 60}
+
+
+def test_contexts_are_whole_words():
+    long = "z" * 500
+    found = {c[0]: c for c in surface.candidates(f"call {long} now 0123 456 7890", set())}
+    assert found["number"][6] == f"call {long} now"
+
+
+def test_shapes_need_good_company(spark):
+    """A shape of telephone numbers that mostly stands where other numbers are none is no telephone number."""
+    rows = [("phone", "999 999 9999", "tel is now")] * 30 + [("phone", "+99 999", "tel is now")] * 5 + [("phone", "9/9", "order no of")] * 3 + [("open", "99999999", "order no of")] * 300
+    df = spark.createDataFrame([(i, i, "number", 0, 5, *r) for i, r in enumerate(rows)], "row long, doc_id long, kind string, start_at int, end_at int, form string, first string, left string")
+    got = {(r.first, r.kind, r.way) for r in pii.decide_numbers(df).collect()}
+    assert got == {("999 999 9999", "phone", "seed"), ("+99 999", "phone", "seed")}
+
+
+def test_addresses_by_street_and_context(spark):
+    rows = [("en", "mill", "live at", 1)] * 9 + [("en", "mill", "x y", 0), ("en", "new", "live at", 0)] + [("en", "down main", "i walked", 0)] * 20 + [("en", "mill", "i walked", 1), ("fr", "des", "live at", 0)]
+    df = spark.createDataFrame([(i, i, "address", 0, 5, *r) for i, r in enumerate(rows)], "row long, doc_id long, kind string, start_at int, end_at int, form string, first string, left string, flag int")
+    got = {(r.first, r.left, r.way) for r in pii.decide_addresses(df).collect()}
+    assert got == {("mill", "live at", "seed"), ("mill", "x y", "street"), ("new", "live at", "pattern")}
+
+
+def test_names_are_found_without_their_seeds(spark):
+    docs = corpus()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(docs)], "doc_id long, text string")
+    r = pii.held_out(df, spark.createDataFrame([(g,) for g in GIVEN], "given_name string")).first()
+    assert r.n_withheld > 20 and r.n_found_again >= 0.9 * r.n_withheld

@@ -4,14 +4,18 @@ Seed entities induce lexical patterns, and patterns discover further entities:
 
 1. ``surface.candidates`` lists the spans of every text that may be personal information, with the words
    to the left and right of each. Whole texts are read, quotes and signatures included.
-2. Seeds are the given names of a list, and numbers whose shape alone says what they are.
+2. Seeds are the given names of a list, numbers of a shape that phone or identity numbers have, and
+   addresses written with capitals.
 3. Spark scores the graph of patterns and instances, round by round. A pattern is as good as the share of
-   its instances that are good; an instance (a pair of given and family name) is as good as the patterns
-   and the name parts it has, and bad when it stands after determiners or is made of ordinary words. For
-   numbers the instances are shapes, which share patterns such as the words "my ssn".
+   its instances that are good; an instance is as good as its patterns. For names the instances are pairs of
+   given and family name, which also have the name parts that other pairs share, and are bad when they stand
+   after determiners or are made of ordinary words. For numbers they are shapes: one that mostly stands
+   after words at which other shapes are no numbers of the kind is given up, seed or not. For addresses they
+   are streets.
 4. Occurrences that reach the threshold are found; overlapping ones are resolved by score, then length.
+   ``way`` says what found them: form (emails), seed, pattern, or street (known from elsewhere).
 
-All statistics are counted over all texts. Only the list of given names (fixed size) and the
+All statistics are counted over all texts. Only the list of given names (at most ``MOST_SEEDS``) and the
 ordinary words (at most 1 / ``ORDINARY_SHARE``, by their share) are shipped to the tasks; scores are joined.
 """
 
@@ -30,12 +34,16 @@ from tidemark.storage import written
 
 #: Part of all words that an ordinary word has at least; so there are at most 1 / ORDINARY_SHARE, 200,000.
 ORDINARY_SHARE = 5e-6
+#: Given names that are shipped to the tasks at most; a longer list raises an error.
+MOST_SEEDS = 1_000_000
 #: Rounds of scoring patterns and instances.
 ROUNDS = 3
 #: A pattern below this share of good instances says nothing.
 PATTERN_FLOOR = 0.3
 #: Score from which an occurrence is found.
 THRESHOLD = 0.5
+#: Share of a street's occurrences in capitals from which it is known; of a context's addresses below which none is one.
+STREET_SHARE = 0.1
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id": "[ID]", "address": "[ADDRESS]", "name": "[NAME]"}
 _CANDIDATES = "row long, doc_id long, kind string, start_at int, end_at int, form string, first string, second string, left string, right string, flag int"
@@ -46,9 +54,9 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
     Tags and whatever holds digits or signs of addresses and handles are no words.
     """
-    plain = F.regexp_replace(text, "<[^<>]{0,300}>", " ")
+    plain = F.regexp_replace(text, "<[^<>]*+>", " ")
     tokens = documents.select(F.explode(F.split(plain, r"\s+")).alias("t")).where(~F.col("t").rlike(r"[@\d_＠]|[\[(](?:at|AT)[\])]"))
-    words = tokens.select(F.explode(F.split("t", r"[^\p{L}'-]+")).alias("w")).where(F.length("w").between(2, 40))
+    words = tokens.select(F.explode(F.split("t", r"[^\p{L}'-]+")).alias("w")).where(F.length("w") >= 2)
     counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     small = F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0))
     return counts.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"), small.alias("small"))
@@ -147,11 +155,17 @@ def decide_names(names: DataFrame, counts: DataFrame, rounds: int = ROUNDS) -> D
         .when(form == "turned", F.when(both, 0.6 + b / 3).when((b >= 0.3) | (a >= 0.3), F.greatest(context, x) - 0.2).otherwise(context - 0.4))
         .otherwise(F.when((F.col("others") >= 0.3) | _bit(surface.SEED_GIVEN), F.greatest(x, context)).otherwise(F.greatest(context, x) - 0.45))
     )
-    return n.withColumn("score", score).where(F.col("score") >= THRESHOLD)
+    way = F.when(_bit(surface.SEED_GIVEN), "seed").otherwise("pattern")
+    return n.withColumns({"score": score, "way": way}).where(F.col("score") >= THRESHOLD)
 
 
 def decide_numbers(numbers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Phone and identity numbers: those of a telling shape, and open ones after patterns that such shapes induce."""
+    """Phone and identity numbers, by the words before them and by what stands before others of their shape.
+
+    Shapes of a kind are the seeds of its patterns. In the end every shape is as good as the patterns of its
+    occurrences, a seed counted as one good occurrence more; an occurrence is of the kind for which its own
+    pattern or, for a seed, its shape says most.
+    """
     words = F.split("left", " ")
     n = numbers.withColumns({"w3": F.col("left"), "w2": F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " "), "w1": F.element_at(words, -1)})
     edges = written(n.select("form", F.col("first").alias("shape"), F.explode(F.array(F.concat(F.lit("3 "), "w3"), F.concat(F.lit("2 "), "w2"), F.concat(F.lit("1 "), "w1"))).alias("pattern")).groupBy("form", "shape", "pattern").agg(F.count(F.lit(1)).alias("n")), "pii-shapes")
@@ -171,15 +185,33 @@ def decide_numbers(numbers: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         scores.append(w)
     best = {k: F.greatest(*[F.coalesce(F.col(f"_{k}{w}"), F.lit(0.0)) for w in scores]) for k in ("phone", "id")}
     n = n.withColumns({"_phone": best["phone"], "_id": best["id"]})
-    kind = F.when(F.col("form") != "open", F.col("form")).when(F.col("_phone") >= F.greatest(F.col("_id"), F.lit(0.3)), "phone").when(F.col("_id") >= 0.3, "id")
-    return n.withColumns({"kind": kind, "score": F.lit(2.0)}).where(F.col("kind").isNotNull())
+    n = written(n, "pii-numbers")
+    seen = n.where("form <> 'open'").groupBy(F.col("form").alias("_f"), F.col("first").alias("_shape"))
+    shape = seen.agg(((1 + F.sum(F.when(F.col("form") == "phone", F.col("_phone")).otherwise(F.col("_id")))) / (1 + F.count(F.lit(1)))).alias("_own"))
+    n = n.join(shape, (F.col("form") == F.col("_f")) & (F.col("first") == F.col("_shape")), "left")
+    own = {k: F.greatest(F.col(f"_{k}"), F.when(F.col("form") == k, F.col("_own")).otherwise(0.0)) for k in ("phone", "id")}
+    kind = F.when(own["phone"] >= F.greatest(own["id"], F.lit(PATTERN_FLOOR)), "phone").when(own["id"] >= PATTERN_FLOOR, "id")
+    way = F.when(F.col("form") == F.col("kind"), "seed").otherwise("pattern")
+    return n.withColumns({"kind": kind, "score": F.lit(2.0)}).where(F.col("kind").isNotNull()).withColumn("way", way)
 
 
 def decide_addresses(addresses: DataFrame) -> DataFrame:
-    """Addresses written with capitals, and those in small letters whose street such an address has."""
-    clear = addresses.where("flag > 0").select(F.col("first").alias("_street")).distinct()
-    known = addresses.join(clear, F.col("first") == F.col("_street"), "left_semi")
-    return known.withColumn("score", F.lit(3.0))
+    """Addresses by how they are written, by their street, and by the words before them.
+
+    One written with capitals is a seed. A street is known when at least ``STREET_SHARE`` of its occurrences
+    are seeds. A context is as good as the share of its addresses whose street is known: below
+    ``STREET_SHARE`` it makes nothing an address, above a half everything (but French ones, whose end only
+    a known street tells).
+    """
+    streets = addresses.groupBy(F.col("first").alias("_street")).agg(F.avg((F.col("flag") > 0).cast("int")).alias("_share"))
+    a = addresses.join(streets.where(F.col("_share") >= STREET_SHARE), F.col("first") == F.col("_street"), "left")
+    a = written(a.withColumn("_known", F.col("_street").isNotNull()), "pii-addresses")
+    contexts = a.groupBy(F.col("left").alias("_left")).agg(F.sum(F.col("_known").cast("int")).alias("_good"), F.count(F.lit(1)).alias("_n"))
+    a = a.join(contexts, F.col("left") == F.col("_left"), "left")
+    pattern = F.col("_good") / (F.col("_n") + 1)
+    found = F.when((F.col("_good") + 1) / (F.col("_n") + 1) < STREET_SHARE, False).otherwise(F.col("_known") | (F.col("form") != "fr") & (pattern >= 0.5))
+    way = F.when(F.col("flag") > 0, "seed").when(F.col("_known"), "street").otherwise("pattern")
+    return a.where(found).withColumns({"score": F.when(F.col("_known"), 3.0).otherwise(2.5), "way": way})
 
 
 def _resolve(spans: DataFrame) -> DataFrame:
@@ -189,42 +221,66 @@ def _resolve(spans: DataFrame) -> DataFrame:
         for pdf in parts:
             out = []
             for row, doc, found in zip(pdf["row"], pdf["doc_id"], pdf["found"]):
-                taken: list = []  # (start, end, kind), in order, none overlapping
+                taken: list = []  # (start, end, kind, way), in order, none overlapping
                 for s in sorted(found, key=lambda s: (-s["score"], s["start_at"] - s["end_at"], s["start_at"], s["kind"])):
                     i = bisect_left(taken, (s["start_at"],))
                     if (not i or taken[i - 1][1] <= s["start_at"]) and (i == len(taken) or s["end_at"] <= taken[i][0]):
-                        taken.insert(i, (s["start_at"], s["end_at"], s["kind"]))
-                out += [(row, doc, kind, a, b) for a, b, kind in taken]
-            yield pd.DataFrame(out, columns=["row", "doc_id", "kind", "start_at", "end_at"])
+                        taken.insert(i, (s["start_at"], s["end_at"], s["kind"], s["way"]))
+                out += [(row, doc, kind, a, b, way) for a, b, kind, way in taken]
+            yield pd.DataFrame(out, columns=["row", "doc_id", "kind", "start_at", "end_at", "way"])
 
-    per_text = spans.groupBy("row", "doc_id").agg(F.collect_set(F.struct("kind", "start_at", "end_at", "score")).alias("found"))
-    return per_text.mapInPandas(keep, "row long, doc_id long, kind string, start_at int, end_at int")
+    per_text = spans.groupBy("row", "doc_id").agg(F.collect_set(F.struct("kind", "start_at", "end_at", "score", "way")).alias("found"))
+    return per_text.mapInPandas(keep, "row long, doc_id long, kind string, start_at int, end_at int, way string")
 
 
 def find_personal_information(documents: DataFrame, given_names: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each piece: row (key of the text), doc_id, kind, start_at, end_at, in code points.
+    """One row for each piece: row (key of the text), doc_id, kind, start_at, end_at, in code points, and way.
 
     Nulls: a null or empty text has no pieces, a null document number is kept. Repeated rows give their
     pieces once. Very long texts are read whole. Without given names, shapes alone are the seeds. Other
     columns are not touched.
     """
     seeds = {r[0].lower() for r in given_names.select("given_name").where("given_name IS NOT NULL").distinct().collect()}
+    if len(seeds) > MOST_SEEDS:
+        raise ValueError(f"{len(seeds)} given names are more than {MOST_SEEDS}")
     counts = written(word_counts(documents, text), "pii-words")
     ordinary = ordinary_words(counts) - seeds
     c = written(candidate_table(documents, ordinary, seeds, doc_id, text), "pii-candidates")
-    columns = ["row", "doc_id", "kind", "start_at", "end_at", "score"]
-    found = c.where("kind = 'email'").withColumn("score", F.lit(4.0)).select(columns)
+    columns = ["row", "doc_id", "kind", "start_at", "end_at", "score", "way"]
+    found = c.where("kind = 'email'").withColumns({"score": F.lit(4.0), "way": F.lit("form")}).select(columns)
     found = found.unionByName(decide_addresses(c.where("kind = 'address'")).select(columns))
     found = found.unionByName(decide_numbers(c.where("kind = 'number'")).select(columns))
     found = found.unionByName(decide_names(c.where("kind = 'name'"), counts).select(columns))
     return _resolve(found)
 
 
+def held_out(documents: DataFrame, given_names: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What patterns find of names whose given name is not on the list: one row with counts.
+
+    Half of the given names, by hash, are withheld; of the names that the whole list finds and whose given name
+    is withheld, ``n_found_again`` are found all the same.
+    """
+    g = given_names.select("given_name").where("given_name IS NOT NULL").distinct()
+    keep = F.pmod(F.xxhash64(F.lower("given_name")), F.lit(2)) == 0
+    at = ["row", "doc_id", "start_at", "end_at"]
+    all_found = written(find_personal_information(documents, g, doc_id=doc_id, text=text).where("kind = 'name'"), "pii-all")
+    half = find_personal_information(documents, g.where(keep), doc_id=doc_id, text=text).where("kind = 'name'").select(*[F.col(c).alias(f"_{c}") for c in at])
+    texts = documents.select(_row_key(doc_id, text).alias("_r"), F.col(text).alias("_text")).dropDuplicates(["_r"])
+    piece = F.lower(F.substring(F.col("_text"), F.col("start_at") + 1, F.col("end_at") - F.col("start_at")))
+    names = all_found.where("way = 'seed'").join(texts, F.col("row") == F.col("_r")).withColumn("piece", piece)
+    # a name holds one given name of the list as a word
+    parts = names.select(*at, F.explode(F.split("piece", r"[^\p{L}]+")).alias("w"))
+    withheld = g.where(~keep).select(F.lower("given_name").alias("_g"))
+    lost = parts.join(withheld, F.col("w") == F.col("_g"), "left_semi").select(*at).distinct()
+    both = lost.join(half, F.expr(" AND ".join(f"{c} <=> _{c}" for c in at)), "left")
+    return both.agg(F.count(F.lit(1)).alias("n_withheld"), F.count("_start_at").alias("n_found_again"))
+
+
 def redact(documents: DataFrame, found: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents with each piece replaced by its placeholder; everything else is unchanged."""
-    pieces = found.groupBy(F.col("row").alias("r")).agg(F.sort_array(F.collect_set(F.struct("start_at", "end_at", "kind"))).alias("p"))
-    whole = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("d"), _row_key(doc_id, text).alias("k"))  # names may clash with ours
-    joined = whole.join(pieces, F.col("k") == F.col("r"), "left")
+    pieces = found.groupBy(F.col("row").alias("r"), F.col("doc_id").alias("rd")).agg(F.sort_array(F.collect_set(F.struct("start_at", "end_at", "kind"))).alias("p"))
+    whole = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("d"), _row_key(doc_id, text).alias("k"), F.col(doc_id).cast("long").alias("kd"))  # names may clash with ours
+    joined = whole.join(pieces, (F.col("k") == F.col("r")) & F.col("kd").eqNullSafe(F.col("rd")), "left")
 
     @F.pandas_udf(T.StringType())
     def fill(texts: pd.Series, found: pd.Series) -> pd.Series:

@@ -90,7 +90,17 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(docs, found).select("doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_places, p6_containers, p6_mixture, p6_placed, p7_mix, p7_shares, p7_limits, p8_found, p8_redacted)}
+def p8_ways(spark: SparkSession, d: str) -> DataFrame:
+    """How many pieces of each kind were found by form, seed, street or pattern."""
+    return _found(spark, d)[1].groupBy("kind", "way").agg(F.count(F.lit(1)).alias("n"))
+
+
+def p8_held_out(spark: SparkSession, d: str) -> DataFrame:
+    """Names found although their given name is withheld from the list."""
+    return pii.held_out(_documents(spark, d), spark.read.parquet(f"{d}/given_names.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_places, p6_containers, p6_mixture, p6_placed, p7_mix, p7_shares, p7_limits, p8_found, p8_redacted, p8_ways, p8_held_out)}
 SQL = {
     "p6_placed": "SELECT doc_id, count(*) AS n_texts, CAST(0 AS BIGINT) AS n_missing, CAST(0 AS BIGINT) AS n_overfull FROM documents WHERE text <> '' GROUP BY 1",
     "p7_limits": """SELECT t.source, t.max_repeats, count(d.text) AS n_texts, CAST(0 AS BIGINT) AS n_bad, CAST(1 AS DOUBLE) AS shares_add_up_to FROM mix_targets t

@@ -11,71 +11,93 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from bisect import bisect_right, insort
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 # Characters that look like a Latin letter.
 LOOKALIKES = str.maketrans("аеорсухіјѕАВЕКМНОРСТУХΑΒΕΗΙΚΜΝΟΡΤΧο", "aeopcyxijsABEKMHOPCTYXABEHIKMNOPTXo")
 _DASHES = "‐‑‒–—−－"
-_HIDDEN = "­​‌‍⁠﻿‎‏\r"
+_HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff\u200e\u200f\r"
+#: Wide forms, dashes, quotes and look-alikes, each as the plain character.
+_PLAIN = {**{c: c - 0xFEE0 for c in range(ord("！"), ord("～") + 1)}, **dict.fromkeys(map(ord, _DASHES), "-"), **dict.fromkeys(map(ord, "‘’"), "'"), **LOOKALIKES}
+_ODD = re.compile("[" + "".join(map(re.escape, map(chr, _PLAIN))) + "]")
+_BLANK = "\u00a0\u2000-\u200a\u3000"
 _PIECE = re.compile(
-    r"(?P<entity>&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});)"
-    r"|(?P<inline></?(?:b|i|u|em|strong|span|font|tt|code|s)(?:\s[^<>]{0,200})?>|\[/?(?:b|i|u)\])"
-    r"|(?P<block><br\s*/?>[ \t\r]*\n?[>| \t]*|</?(?:p|div|blockquote|li|ul|ol|td|tr|table|pre|h\d|hr)(?:\s[^<>]{0,200})?/?>)"
-    r"|(?P<line>[ \t\r]*\n[>| \t\r]*)"
-    r"|(?P<blank>[ \t  -  　]{2,}|[\t  -  　])"
+    rf"(?=[&<\[\n\t\r{_HIDDEN}{_BLANK}\u0300-\u036f]| [ \t\r\n{_BLANK}])(?:"  # spares the rest at most places
+    r"(?P<entity>&(?:#\d++|#[xX][0-9a-fA-F]++|[a-zA-Z]++);)"
+    r"|(?P<inline></?(?:b|i|u|em|strong|span|font|tt|code|s)(?:\s[^<>]*+)?>|\[/?(?:b|i|u)\])"
+    r"|(?P<block><br\s*/?>[ \t\r]*\n?[>| \t]*|</?(?:p|div|blockquote|li|ul|ol|td|tr|table|pre|h\d|hr)(?:\s[^<>]*+)?/?>)"
+    r"|(?P<line>\n[>| \t\r]++|[ \t\r]++\n[>| \t\r]*)"
+    rf"|(?P<blank>[ \t{_BLANK}]{{2,}}|[\t{_BLANK}])"
     rf"|(?P<hidden>[{_HIDDEN}]+)"
-    r"|(?P<combined>[\u0300-\u036f]+)"
+    r"|(?P<combined>[\u0300-\u036f]+))"
 )
 
 
-def readable(text: str) -> tuple[str, list[int]]:
+class Offsets:
+    """Where each character of a readable text came from: runs of (place there, place here, whether they go on together)."""
+
+    def __init__(self, runs: list[tuple[int, int, bool]]):
+        self.starts = [r[0] for r in runs]
+        self.runs = runs
+
+    def __getitem__(self, i: int) -> int:
+        there, here, together = self.runs[bisect_right(self.starts, i) - 1]
+        return here + (i - there if together else 0)
+
+
+def readable(text: str) -> tuple[str, Offsets]:
     """The text without markup, quote marks and disguised characters, and each character's offset in ``text``.
 
     A line break (with the quote marks of the next line) becomes one newline, blanks become one space.
     """
     out: list[str] = []
-    at: list[int] = []
+    runs: list[tuple[int, int, bool]] = []
+    size = 0
 
-    def put(s: str, where: int) -> None:
-        out.append(s)
-        at.extend([where] * len(s))
+    def put(s: str, where: int, together: bool) -> None:
+        nonlocal size
+        if s:
+            out.append(s)
+            runs.append((size, where, together))
+            size += len(s)
 
     def plain(s: str, where: int) -> None:
-        if not s.isascii():
-            s = s.translate(LOOKALIKES)
-            s = "".join(c if c < "‐" else "-" if c in _DASHES else chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else "'" if c in "‘’" else c for c in s)
-        out.append(s)
-        at.extend(range(where, where + len(s)))
+        put(s.translate(_PLAIN) if not s.isascii() and _ODD.search(s) else s, where, True)
 
     end = 0
     for m in _PIECE.finditer(text):
-        if m.start() > end:
-            plain(text[end : m.start()], end)
+        at = m.start()
+        if at > end:
+            plain(text[end:at], end)
         end = m.end()
         kind = m.lastgroup
-        if kind == "entity":
-            char = html.unescape(m.group())
-            put(char if len(char) == 1 else " ", m.start()) if char != m.group() else plain(char, m.start())
-        elif kind == "block" or kind == "line":
-            put("\n", m.start())
+        if kind == "line" or kind == "block":
+            put("\n", at, False)
         elif kind == "blank":
-            put(" ", m.start())
-        elif kind == "combined":
-            if out and out[-1]:  # the mark belongs to the letter before it
-                out[-1] = out[-1][:-1] + unicodedata.normalize("NFC", out[-1][-1] + m.group())[:1]
+            put(" ", at, False)
+        elif kind == "entity":
+            char = html.unescape(m.group())
+            if char == m.group():
+                plain(char, at)
+            else:
+                put(char if len(char) == 1 else " ", at, False)
+        elif kind == "combined" and out:  # the mark belongs to the letter before it
+            out[-1] = out[-1][:-1] + unicodedata.normalize("NFC", out[-1][-1] + m.group())[:1]
     if end < len(text):
         plain(text[end:], end)
-    at.append(len(text))
-    return "".join(out), at
+    runs.append((size, len(text), False))
+    return "".join(out), Offsets(runs)
 
 
 _AT = r"(?:[ \n]?@[ \n]?|[ \n]?[\[({<][ \n]?(?:at|AT|At|arobase|arroba)[ \n]?[\])}>][ \n]?)"
 _DOT = r"(?:\.|[ \n]?[\[({<][ \n]?(?:dot|DOT|Dot|punkt|point|punto)[ \n]?[\])}>][ \n]?|[ \n](?:dot|DOT)[ \n])"
-EMAIL = re.compile(
-    rf"(?<![\w.+@-])[^\W_][\w.+'-]{{0,63}}{_AT}[^\W_][\w-]{{0,62}}(?:{_DOT}[^\W_][\w-]{{0,62}}){{0,5}}{_DOT}[^\W\d_]{{2,24}}(?![\w-])"
-    rf"|(?<![\w.+@-])[^\W_][\w.+'-]{{0,63}}[ \n](?:at|AT)[ \n][^\W_][\w-]{{0,62}}(?:[ \n](?:dot|DOT)[ \n][^\W_][\w-]{{0,62}}){{1,6}}(?![\w-])"
-)
+_LOCAL = r"(?<![\w.+@-])[^\W_][\w.+'-]{0,63}"
+_LOCAL_END = re.compile(rf"{_LOCAL}\Z")
+_SIGN = re.compile(_AT)
+EMAIL = re.compile(rf"{_LOCAL}{_AT}[^\W_][\w-]{{0,62}}(?:{_DOT}[^\W_][\w-]{{0,62}}){{0,5}}{_DOT}[^\W\d_]{{2,24}}(?![\w-])")
+SPELT_EMAIL = re.compile(rf"{_LOCAL}[ \n](?:at|AT)[ \n][^\W_][\w-]{{0,62}}(?:[ \n](?:dot|DOT)[ \n][^\W_][\w-]{{0,62}}){{1,6}}(?![\w-])")
 _FILE_NAMES = re.compile(r"(?i)\.(?:png|jpe?g|gif|svg|webp|bmp|ico|pdf|txt|zip|gz|tar|exe|html?|css|js|py|log|bak|conf)$")
 
 _S = r"[ \n]"
@@ -105,10 +127,14 @@ ID_SHAPES = [
 #: Shapes that only their surroundings explain.
 # Digits as words.
 DIGIT_WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|null|eins|zwei|zwo|drei|vier|fünf|sechs|sieben|acht|neun|zéro|un|deux|trois|quatre|cinq|sept|huit|neuf|cero|uno|dos|tres|cuatro|cinco|seis|siete|ocho|nueve"
-PHONE_SHAPES.append(rf"(?i:(?:plus[ \n])?(?:(?:double|triple)[ \n])?(?:{DIGIT_WORDS})(?:[ \n,-]{{1,2}}(?:(?:double|triple)[ \n])?(?:{DIGIT_WORDS})){{6,15}})")
+SPELT_NUMBER = re.compile(rf"(?<![\w@#$.,/:=+-])(?i:(?:plus[ \n])?(?:(?:double|triple)[ \n])?(?:{DIGIT_WORDS})(?:[ \n,-]{{1,2}}(?:(?:double|triple)[ \n])?(?:{DIGIT_WORDS})){{6,15}})(?![\w@%]|[.,:/-]\d|-[A-Za-z])")
 OPEN_SHAPES = [r"\d{8,15}", r"[A-Za-z]{1,2}\d{6,9}[A-Za-z]?", r"[A-Z]\d{2}[A-Z0-9]{5,7}", r"\d{2,6}(?:[ \n./-]\d{2,6}){1,4}"]
 _BEFORE = r"(?<![\w@#$.,/:=+-])"
 _AFTER = r"(?![\w@%]|[.,:/-]\d|-[A-Za-z])"
+#: Tried where a run of digits begins and up to ``_LEAD`` characters before it, which every shape has at its start.
+_LEAD = 3
+_DIGITS = re.compile(r"(?<!\d)\d")
+_SPELT = set(DIGIT_WORDS.split("|"))
 NUMBER = re.compile(
     "|".join(
         f"{_BEFORE}(?P<{k}>{'|'.join(shapes)}){_AFTER}"
@@ -139,17 +165,34 @@ ADDRESS_DE = re.compile(
     rf"(?<![\w-])(?:(?:(?:{_CAP}[ \n-]){{0,2}}[A-ZÄÖÜ][\wäöüß-]*|(?:{_CAP}[ \n-]){{1,2}})(?i:{STREET_DE})\.?|(?:Am|An der|An den|Auf der|Auf dem|Im|In der|In den|Zum|Zur|Hinter der|Unter den|Bei der)[ \n](?:{_CAP}[ \n]){{0,2}}{_CAP})[ \n][1-9]\d{{0,3}}(?:[ ]?[a-h](?![\w]))?(?![\w.]*\d|[.,]\d)"
 )
 ADDRESS_DE_FREE = re.compile(rf"(?<![\w-])(?:(?i:am|an der|auf der|im|in der|zum|zur|hinter der|unter den)[ \n](?i:(?:[a-zäöüß]{{2,}}[ \n]){{0,2}}[a-zäöüß]{{2,}})|(?:[a-zäöüß]{{3,}}[ \n])?[a-zäöüßA-ZÄÖÜ]*(?i:straße|strasse|str|weg|gasse|allee|steig|platz|ufer|damm|pfad)\.?)[ \n][1-9]\d{{0,3}}(?:[ ]?[a-hA-H](?![\w]))?(?![\w.]*\d|[.,]\d)")
-_DE_PLACES = ["am", "an der", "an den", "auf der", "auf dem", "im", "in der", "in den", "zum", "zur", "hinter der", "unter den", "bei der"]
-#: Words of which a text must have one before the pattern is tried.
-_HINTS = {
-    "email": ["@", "at)", "at]", "at}", "at>", " at ", "\nat ", " at\n", "arobase", "arroba"],
-    "fr": STREET_FR.split("|"),
-    "es": [*STREET_ES.split("|"), "c/"],
-    "de": [*STREET_DE.split("|"), *(f"{p}{b}" for p in _DE_PLACES for b in " \n")],
-}
-_STREET_STOP = re.compile(r"(?i)\b(?:blocks?|down|of|the|for|in|to|from|with|them|were|any|good|years?|mm|ms|is|at|on|and|people|model|old(?= road to)|months?|days?|times?|by|best|get|a)\b")
-
-_WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*\.?|\n+|[^\s\w]|[\w]+")
+#: An email has one of these, or words for them and for the dot.
+_EMAIL_SIGNS = ["@", "at)", "at]", "at}", "at>", "arobase", "arroba"]
+#: A house number.
+_HOUSE = re.compile(r"(?<![\w.,#-])\d{1,5}(?!\d)")
+#: Tokens of a German address before its number, and of those of a street's name with its kind.
+_DE_TOKENS, _DE_NAME = 6, 3
+_ES_FIRST, _DE_PLACE, _DE_ARTICLE, _DE_KIND = 1, 2, 4, 8
+
+
+class _Streets(dict):
+    """Bits of a word: begins a Spanish street; begins the place of a German one, alone or before an article; ends in a German kind of street."""
+
+    def __missing__(self, w: str) -> int:
+        x = w.rstrip(".").lower()
+        bits = _ES_FIRST * (x in _ES_KINDS) | _DE_PLACE * (x in {"am", "im", "zum", "zur"}) | _DE_ARTICLE * (x in {"an", "auf", "in", "hinter", "unter", "bei"}) | _DE_KIND * x.endswith(_DE_KINDS)
+        if len(self) > 200_000:
+            self.clear()
+        self[w] = bits
+        return bits
+
+
+_STREETS = _Streets()
+_ES_KINDS = {*STREET_ES.split("|"), "c"}
+_DE_KINDS = tuple(STREET_DE.split("|"))
+#: Words within a street's name that are written small where the others have capitals.
+_SMALL_IN_STREETS = {"de", "du", "des", "la", "le", "les", "los", "las", "el", "del", "der", "den", "dem", "of", "the", "am", "an", "auf", "im", "in", "zum", "zur", "bei", "hinter", "unter", "y", "et"}
+
+_WORD = re.compile(r"([^\W\d_]++(?:['-][^\W\d_]++)*+\.?|\n+|[^\s\w]|[\w]+)")
 _LETTER_WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*\.?$")
 PREFIXES = {"van", "von", "de", "del", "della", "di", "da", "du"}
 INNER_PREFIXES = {"der", "den", "la", "los", "las", "het", "dem"}
@@ -165,72 +208,95 @@ def _context(words: list[str]) -> str:
     return " ".join("#" if w[:1].isdigit() else "^" if w[:1] == "\n" else w.lower().rstrip(".") or "." for w in words)
 
 
-_KINDS: dict[str, str] = {}
+class _Kinds(dict):
+    """Kind of a word: C capital first, U all capitals, I initial, i small initial, p prefix, l small, . ends in a stop, '' no word."""
 
-
-def _kind(w: str) -> str:
-    """C capital first, U all capitals, I initial, i small initial, p prefix, l small, . ends in a stop, '' no word."""
-    if w[:1] == "\n" or not _LETTER_WORD.match(w):
-        k = ""
-    else:
-        bare = w.rstrip(".")
-        if len(bare) == 1:
-            k = "I" if bare.isupper() else "i" if w.endswith(".") else ""
-        elif w.endswith("."):
-            k = "."  # an abbreviation or the end of a sentence
-        elif bare.isupper():
-            k = "U"
-        elif bare[0].isupper():
-            k = "C"
+    def __missing__(self, w: str) -> str:
+        if w[:1] == "\n" or not _LETTER_WORD.match(w):
+            k = ""
         else:
-            k = "p" if bare in PREFIXES else "l"
-    if len(_KINDS) > 200_000:
-        _KINDS.clear()
-    _KINDS[w] = k
-    return k
-
-
-def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
+            bare = w.rstrip(".")
+            if len(bare) == 1:
+                k = "I" if bare.isupper() else "i" if w.endswith(".") else ""
+            elif w.endswith("."):
+                k = "."  # an abbreviation or the end of a sentence
+            elif bare.isupper():
+                k = "U"
+            elif bare[0].isupper():
+                k = "C"
+            else:
+                k = "p" if bare in PREFIXES else "l"
+        if len(self) > 200_000:  # a memory of words only; what is forgotten is found out again
+            self.clear()
+        self[w] = k
+        return k
+
+
+_KINDS = _Kinds()
+
+
+class Tokens:
+    """The words, signs and line breaks of a text with their places; ``gaps[i]`` is what stands before token i."""
+
+    def __init__(self, norm: str):
+        parts = _WORD.split(norm)
+        ends = list(accumulate(map(len, parts)))
+        self.words, self.gaps = parts[1::2], parts[0::2]
+        self.starts, self.ends = ends[0:-1:2], ends[1::2]
+        self.kinds = [_KINDS[w] for w in self.words]
+        self._letters: list[int] | None = None
+
+    def before(self, at: int, n: int) -> list[str]:
+        """The last ``n`` tokens that begin before the place."""
+        i = bisect_left(self.starts, at)
+        return self.words[max(0, i - n) : i]
+
+    def letters_before(self, at: int, n: int) -> list[str]:
+        """The last ``n`` tokens with a letter first that begin before the place."""
+        if self._letters is None:
+            self._letters = [i for i, w in enumerate(self.words) if w[0].isalpha()]
+        i = bisect_left(self._letters, bisect_left(self.starts, at))
+        return [self.words[j] for j in self._letters[max(0, i - n) : i]]
+
+
+def name_candidates(tokens: Tokens, ordinary: set[str]) -> Iterator[tuple]:
     """(start, end, form, given, family, left, right, after determiner) for every pair of words that has the form of a name.
 
     Forms: ``full`` Given [initials] Family; ``turned`` Family, Given; ``initials`` X. [Y.] Family or
     ``turned`` without given name Family, X.; ``parted`` turned on two lines; ``small`` both in lower case, ``large`` both in capitals. A given name is null for initials.
     """
-    toks = [(m.group(), m.start(), m.end()) for m in _WORD.finditer(norm)]
+    toks, starts, ends, kinds, gaps = tokens.words, tokens.starts, tokens.ends, tokens.kinds, tokens.gaps
     n = len(toks)
 
     def gap(i: int) -> str:
-        """What separates token i from the next: '' none, ' ' blank, '?' more."""
-        a, b = toks[i][2], toks[i + 1][1]
-        return "" if a == b else " " if b - a == 1 else "?"
-
-    kinds = [_KINDS[w] if w in _KINDS else _kind(w) for w, _, _ in toks]
+        """What separates token i from the next."""
+        return gaps[i + 1]
 
     def end_word(i: int) -> tuple[str, int] | None:
         """Word and end of token i without a full stop, for the last part of a name."""
-        w, a, b = toks[i]
+        w = toks[i]
         if w[:1] == "\n" or not _LETTER_WORD.match(w) or len(w.rstrip(".")) < 2:
             return None
-        return w.rstrip("."), a + len(w.rstrip("."))
+        return w.rstrip("."), starts[i] + len(w.rstrip("."))
 
     def case(w: str) -> str:
         return "U" if w.isupper() else "C" if w[0].isupper() else "l"
 
     def skip_line(i: int) -> int | None:
         """Index of the word after token i across a blank or a line break, else None."""
-        if i + 1 < n and kinds[i + 1] == "" and toks[i + 1][0] == "\n" and i + 2 < n:
+        if i + 1 < n and kinds[i + 1] == "" and toks[i + 1] == "\n" and i + 2 < n:
             return i + 2
         if i + 1 < n and gap(i) == " ":
             return i + 1
-        if i + 1 < n and gap(i) == "" and kinds[i] in ("I", "i") and toks[i][0].endswith("."):
+        if i + 1 < n and gap(i) == "" and kinds[i] in ("I", "i") and toks[i].endswith("."):
             return i + 1
         return None
 
     def family(i: int | None) -> tuple[str, int, str, int] | None:
         """(family, end, case, index) that begins at token i, with its prefixes."""
         parts, j = [], i
-        while j is not None and j < n and len(parts) < 3 and (toks[j][0].lower() in PREFIXES or parts and toks[j][0].lower() in INNER_PREFIXES):
-            parts.append(toks[j][0].lower())
+        while j is not None and j < n and len(parts) < 3 and (toks[j].lower() in PREFIXES or parts and toks[j].lower() in INNER_PREFIXES):
+            parts.append(toks[j].lower())
             j = skip_line(j)
         if j is None or j >= n:
             return None
@@ -240,20 +306,22 @@ def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
         return " ".join([*parts, e[0].lower()]), e[1], case(e[0]), j
 
     def around(i: int, j: int) -> tuple[str, str, bool]:
-        title = toks[i - 1][0].rstrip(".").lower() if i else ""
-        left = [t[0] for t in toks[max(0, i - 2) : i]]
+        title = toks[i - 1].rstrip(".").lower() if i else ""
+        left = toks[max(0, i - 2) : i]
         if title in _TITLES:
             left = ["title", title]
-        right = [t[0] for t in toks[j + 1 : j + 3]]
-        before = toks[i - 1][0].lower() if i else ""
-        return _context(["\n"] * (2 - len(left)) + left), _context(right + ["\n"] * (2 - len(right))), before in DETERMINERS and toks[i - 1][2] + 1 == toks[i][1]
+        right = toks[j + 1 : j + 3]
+        before = toks[i - 1].lower() if i else ""
+        return _context(["\n"] * (2 - len(left)) + left), _context(right + ["\n"] * (2 - len(right))), before in DETERMINERS and ends[i - 1] + 1 == starts[i]
 
-    for i in range(n):
-        k = kinds[i]
-        if not k or k == "." or k == "l" and toks[i][0] in ordinary:
+    for i, k in enumerate(kinds):
+        if not k or k == "." or k == "l" and toks[i] in ordinary:
+            continue
+        # most words with a capital are followed by a small one that is no part of a name
+        if k in "CU" and i + 1 < n and kinds[i + 1] == "l" and toks[i + 1] not in INNER_PREFIXES:
             continue
-        if k in ("C", "U", "l") and toks[i][0].lower() not in _TITLES | DETERMINERS:
-            given = toks[i][0]
+        if k in ("C", "U", "l") and toks[i].lower() not in _TITLES | DETERMINERS:
+            given = toks[i]
             j, m = i, skip_line(i)
             middle = 0
             while m is not None and m < n and kinds[m] in ("I", "i") and middle < 3:
@@ -265,9 +333,9 @@ def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
                 if form == "small" and (given in ordinary or fam.rpartition(" ")[2] in ordinary or len(given) < 3 or len(fam) < 4):
                     form = None
                 if form:
-                    yield (toks[i][1], end, form, given.lower(), fam, *around(i, last))
+                    yield (starts[i], end, form, given.lower(), fam, *around(i, last))
         # Family, Given   or   Family, X.
-        if (k in ("C", "U", "l") or k == "p") and not (i and (kinds[i - 1] == "p" or i > 1 and kinds[i - 2] == "p" and toks[i - 1][0].lower() in INNER_PREFIXES)):
+        if (k in ("C", "U", "l") or k == "p") and not (i and (kinds[i - 1] == "p" or i > 1 and kinds[i - 2] == "p" and toks[i - 1].lower() in INNER_PREFIXES)):
             f = family(i)
             if f and f[3] + 2 < n and toks[f[3] + 1][0] == "," and gap(f[3]) == "":
                 fam, _, c, last = f
@@ -276,25 +344,31 @@ def name_candidates(norm: str, ordinary: set[str]) -> Iterator[tuple]:
                     h = g
                     while h + 1 < n and kinds[h + 1] in ("I", "i") and gap(h) in ("", " "):
                         h += 1
-                    yield (toks[i][1], toks[h][2], "turned", None, fam, *around(i, h))
+                    yield (starts[i], ends[h], "turned", None, fam, *around(i, h))
                 elif g is not None:
                     e = end_word(g)
-                    if e and toks[g][0].lower() not in PREFIXES and case(e[0]) == c and (c != "l" or not (e[0] in ordinary or fam.rpartition(" ")[2] in ordinary)):
+                    if e and toks[g].lower() not in PREFIXES and case(e[0]) == c and (c != "l" or not (e[0] in ordinary or fam.rpartition(" ")[2] in ordinary)):
                         form = "turned" if g == last + 2 else "parted"  # parted: on two lines
-                        yield (toks[i][1], e[1], form, e[0].lower(), fam, *around(i, g))
-        if k in ("I", "i") and toks[i][0].endswith(".") and not (i and kinds[i - 1] in ("I", "i", "C", "U") and toks[i - 1][0].rstrip(".").lower() not in _TITLES and gap(i - 1) in ("", " ")):
+                        yield (starts[i], e[1], form, e[0].lower(), fam, *around(i, g))
+        if k in ("I", "i") and toks[i].endswith(".") and not (i and kinds[i - 1] in ("I", "i", "C", "U") and toks[i - 1].rstrip(".").lower() not in _TITLES and gap(i - 1) in ("", " ")):
             m = skip_line(i)
             while m is not None and m < n and kinds[m] in ("I", "i"):
                 m = skip_line(m)
             f = family(m)
             if f and (f[2] != "l" or k == "i"):
-                yield (toks[i][1], f[1], "initials", None, f[0], *around(i, f[3]))
+                yield (starts[i], f[1], "initials", None, f[0], *around(i, f[3]))
 
 
 #: What may stand between an address and the town that follows it.
 _TOWN = re.compile(r"\.?(?:[ ,\n]*(?:#[ ]?\d+|[Aa]pt\.?[ ]\d+|\d{4,5}|\d+[ºª°][ ]?\w?))?[ ,]*\n?[ ,]*$")
 
 
+def _street_capitals(address: str) -> bool:
+    """Whether all words of an English address but small ones, its kind of street and the letter of its number have capitals."""
+    words = re.findall(r"(?<![\w-])[^\W\d_][\w'-]*", address)
+    return bool(words) and all(not w[0].islower() or w in _SMALL_IN_STREETS or w in STREET_KINDS or len(w) == 1 for w in words) and any(w[0].isupper() for w in words)
+
+
 def street_core(address: str) -> str:
     """The words of an address that name its street, without number, direction and kind of street."""
     words = re.findall(r"[^\W\d_][\w']*", address.lower().replace("\n", " "))
@@ -307,6 +381,75 @@ AFTER_DETERMINER, ORDINARY_GIVEN, ORDINARY_FAMILY, SEED_GIVEN, SEED_FAMILY, BEFO
 _NEXT_LINE = re.compile(r"[ ,]?\n+([^\W\d_]+(?:-[^\W\d_]+)*)(?=[ \n][^\W\d_])")
 
 
+def _emails(norm: str) -> Iterator[re.Match]:
+    low = norm.lower()
+    if any(x in low for x in _EMAIL_SIGNS):
+        end = 0
+        for sign in _SIGN.finditer(norm):
+            local = _LOCAL_END.search(norm, max(end, sign.start() - 64), sign.start())
+            if local and (m := EMAIL.match(norm, local.start())):
+                yield m
+                end = m.end()
+    if "dot" in low and ("at " in low or "at\n" in low):
+        yield from SPELT_EMAIL.finditer(norm)
+
+
+def _addresses(norm: str, tokens: Tokens) -> Iterator[tuple[re.Match, str]]:
+    """Spans with the form of an address, language by language, without overlap within a language.
+
+    The patterns are tried only where one can begin: French and English addresses with their number, Spanish
+    and German ones at certain words, or some words before a kind of street that a number follows.
+    """
+    houses = [m.start() for m in _HOUSE.finditer(norm)]
+    words, starts = tokens.words, tokens.starts
+
+    def tried(pattern: re.Pattern, places: Iterable[int]) -> Iterator[re.Match]:
+        end = 0
+        for p in places:
+            if p >= end and (m := pattern.match(norm, p)):
+                yield m
+                end = m.end()
+
+    for m in tried(ADDRESS_FR, houses):
+        yield m, "fr"
+    marked = [(j, bits) for j, w in enumerate(words) if (bits := _STREETS[w])]
+    for m in tried(ADDRESS_ES, [starts[j] for j, bits in marked if bits & _ES_FIRST]):
+        yield m, "es"
+    german: set[int] = set()
+    n = len(words)
+    for j, bits in marked:
+        if bits & _DE_PLACE or bits & _DE_ARTICLE and j + 1 < n and words[j + 1].lower() in ("der", "den", "dem"):
+            if any(w[0].isdigit() for w in words[j + 1 : j + _DE_TOKENS + 1]):
+                german.add(j)
+        if bits & _DE_KIND and j + 1 < n and words[j + 1][0].isdigit():
+            german.update(range(max(0, j - _DE_NAME + 1), j + 1))
+    places = [starts[j] for j in sorted(german)]
+    for m in tried(ADDRESS_DE, places):
+        yield m, "de"
+    for m in tried(ADDRESS_DE_FREE, places):
+        yield m, "de free"
+    for m in tried(ADDRESS_EN, houses):
+        yield m, "en"
+
+
+def _numbers(norm: str, tokens: Tokens, digits: list[int]) -> Iterator[re.Match]:
+    """Spans with the shape of a number, first those in digits, then those in words."""
+    end = 0
+    for p in digits:
+        c = norm[p - 1] if p else " "
+        if c in "@#$.,/:=_":
+            continue  # nothing begins before the digits, nor with them
+        lead = 1 if c in "+(" else _LEAD if c in " \n-" and p > 1 and (norm[p - 2].isalpha() or norm[p - 2] == "+") else 2 if c.isalpha() else 0
+        for a in range(max(end, p - lead), p + 1):
+            if m := NUMBER.match(norm, a):
+                yield m
+                end = m.end()
+                break
+    # seven words of digits at least
+    if sum(map(_SPELT.__contains__, map(str.lower, tokens.words))) >= 7:
+        yield from SPELT_NUMBER.finditer(norm)
+
+
 def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) -> Iterator[tuple]:
     """(kind, start, end, form, first, second, left, right, flag): spans in ``text`` that may be personal information.
 
@@ -314,6 +457,7 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
     language, first the words that name the street. kind name: as ``name_candidates``.
     """
     norm, at = readable(text)
+    tokens = Tokens(norm)
 
     def span(a: int, b: int) -> tuple[int, int]:
         return at[a], at[b - 1] + 1
@@ -337,44 +481,43 @@ def candidates(text: str, ordinary: set[str], seeds: set[str] = frozenset()) ->
         """Whether a number follows the colon or stop at ``b``: the word before it names the number."""
         return bool(re.match(r"[.:]{1,2}[ \n]", norm[b : b + 3])) and any(b + i in number_starts for i in (1, 2, 3, 4))
 
-    low = norm.lower()
-    hinted = {k for k, words in _HINTS.items() if any(w in low for w in words)} | {"en"}
-    for m in EMAIL.finditer(norm) if "email" in hinted else ():
-        if not _FILE_NAMES.search(m.group()):
+    for m in _emails(norm):
+        if free(*m.span()) and not _FILE_NAMES.search(m.group()):
             take(*m.span())
             yield ("email", *span(*m.span()), "email", None, None, "", "", 0)
-    for pattern, language in ((ADDRESS_FR, "fr"), (ADDRESS_ES, "es"), (ADDRESS_DE, "de"), (ADDRESS_DE_FREE, "de free"), (ADDRESS_EN, "en")):
-        for m in pattern.finditer(norm) if language[:2] in hinted else ():
-            s = m.group()
-            if not free(*m.span()) or language == "en" and _STREET_STOP.search(re.sub(r"^\d+(?:-?[A-Za-z]\b)?", "", s)):
-                continue
-            take(*m.span())
-            insort(address_ends, m.end())
-            left = [t.group() for t in _WORD.finditer(norm, max(0, m.start() - 40), m.start())][-2:]
-            if language == "fr":  # how many of the words after the kind of street belong to it, the core decides
-                a, b = m.span()
-                while True:
-                    part = norm[a:b]
-                    yield ("address", *span(a, b), language, street_core(part), None, _context(left), "", int(part != part.lower()))
-                    shorter = re.search(r"[ \n][\w'-]+$", part)
-                    if not shorter or len(part[: shorter.start()].split()) < 3:
-                        break
-                    b = a + shorter.start()
-                continue
-            clear = s != s.lower() and (language != "de free" or not s.isupper())
-            yield ("address", *span(*m.span()), language[:2], street_core(s), None, _context(left), "", int(clear))
-    for m in NUMBER.finditer(norm):
+    digits = [m.start() for m in _DIGITS.finditer(norm)]
+    for m, language in _addresses(norm, tokens) if digits else ():
+        s = m.group()
+        if not free(*m.span()):
+            continue
+        take(*m.span())
+        insort(address_ends, m.end())
+        left = _context(tokens.before(m.start(), 2))
+        if language == "fr":  # how many of the words after the kind of street belong to it, the core decides
+            a, b = m.span()
+            while True:
+                part = norm[a:b]
+                yield ("address", *span(a, b), language, street_core(part), None, left, "", int(part != part.lower()))
+                shorter = re.search(r"[ \n][\w'-]+$", part)
+                if not shorter or len(part[: shorter.start()].split()) < 3:
+                    break
+                b = a + shorter.start()
+            continue
+        clear = _street_capitals(s) if language == "en" else s != s.lower() and (language != "de free" or not s.isupper())
+        yield ("address", *span(*m.span()), language[:2], street_core(s), None, left, "", int(clear))
+    for m in _numbers(norm, tokens, digits):
         s = m.group()
-        if not free(*m.span()) or m.lastgroup == "open" and _NOT_NUMBERS.match(s):
+        form = m.lastgroup or "phone"
+        if not free(*m.span()) or form == "open" and _NOT_NUMBERS.match(s):
             continue
         take(*m.span())
         number_starts.add(m.start())
-        left = [t.group() for t in _WORD.finditer(norm, max(0, m.start() - 48), m.start()) if t.group()[0].isalpha()][-3:]
+        left = tokens.letters_before(m.start(), 3)
         a, b = m.span()
         if s.startswith("(") and ")" not in s:
             a += 1
-        yield ("number", *span(a, b), m.lastgroup, _shape(norm[a:b]), None, _context(left), "", 0)
-    for a, b, form, given, fam, left, right, det in name_candidates(norm, ordinary):
+        yield ("number", *span(a, b), form, _shape(norm[a:b]), None, _context(left), "", 0)
+    for a, b, form, given, fam, left, right, det in name_candidates(tokens, ordinary):
         if fam in _TITLES or given in _TITLES:
             continue
         if free(a, b) and not town(a) and not label(b):
