@@ -41,11 +41,3 @@ def deletes_at_base_level(deletes: DataFrame, deeper: DataFrame) -> DataFrame:
     counted = interval_sums(deletes, F.col("user_key"), F.col("user_key"), deeper, {"n_deeper": F.lit(1).cast("long")})
     return counted.where("n_deeper = 0").drop("n_deeper")
 
-
-def output_files(rows: DataFrame, target_rows: int) -> DataFrame:
-    """Rows in sorted, disjoint ranges of keys, about ``target_rows`` each, newest first within a key.
-
-    Ranges are cut between keys only, so no key is in two files.
-    """
-    n = max(1, -(-rows.count() // target_rows))
-    return rows.repartitionByRange(n, "user_key").sortWithinPartitions("user_key", F.desc("seq"))

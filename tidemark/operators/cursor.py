@@ -13,8 +13,8 @@ class InvalidCursor(RuntimeError):
 class Cursor:
     """Cursor over (user_key, value) as they were when it was made. Not valid until positioned."""
 
-    def __init__(self, rows: DataFrame, page: int = 1000, close=None):
-        self.rows, self.page, self._close = rows, page, close
+    def __init__(self, rows: DataFrame, page: int = 1000, close=None, read=None):
+        self.rows, self.page, self._close, self._read = rows, page, close, read
         self._buffer: list = []
         self._at = -1
         self._ascending = True
@@ -38,6 +38,8 @@ class Cursor:
         self._buffer = [(r.user_key, r.value) for r in rows.orderBy(order).limit(self.page).collect()]
         self._ascending = ascending
         self._at = 0
+        for key, value in self._buffer if self._read else ():
+            self._read(key, len(key) + len(value))
 
     def seek(self, target) -> None:
         self._fetch(self.rows.where(F.col("user_key") >= F.lit(target)), True)

@@ -36,26 +36,37 @@ def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) ->
 
 
 def positions(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
-    """``df`` with the position of each row in ``order``, from 1."""
-    return running_sums(df, order, {name: F.lit(1).cast("long")})
+    """``df`` with the position of each row in ``order``, from 1.
+
+    The place of a row in its sorted run is known when the run is written; only the runs' shifts, one row
+    a partition, are joined to it.
+    """
+    runs = _sorted_runs(df, order, "positions")
+    totals = runs.groupBy(_PART).agg(F.count(F.lit(1)).alias("_t"))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    shifts = totals.select(F.col(_PART).alias("_p"), F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
+    out = runs.join(F.broadcast(shifts), F.col(_PART) == F.col("_p"))  # no more rows than shuffle partitions
+    return out.select(*df.columns, (F.col(_AT) + 1 + F.col("_s")).alias(name))
 
 
 def neighbours(df: DataFrame, key: str) -> DataFrame:
     """Each row of ``df`` (distinct keys) with the key before and after it; null at the ends."""
-    placed = written(positions(df, [F.col(key)], "_n"), "neighbours")
-    near = placed.select(F.col("_n").alias("_m"), F.col(key).alias("_key"))
-    prev = near.select((F.col("_m") + 1).alias("_after"), F.col("_key").alias("prev_key"))
-    succ = near.select((F.col("_m") - 1).alias("_before"), F.col("_key").alias("next_key"))
-    out = placed.join(prev, F.col("_n") == F.col("_after"), "left").join(succ, F.col("_n") == F.col("_before"), "left")
-    return out.select(*df.columns, "prev_key", "next_key")
+    runs = _sorted_runs(df, [F.col(key)], "neighbours")
+    ends = runs.groupBy(_PART).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    by_part = Window.orderBy(_PART)  # one row a partition
+    ends = ends.select(F.col(_PART).alias("_p"), F.lag("_hi").over(by_part).alias("_before"), F.lead("_lo").over(by_part).alias("_after"))
+    within = Window.partitionBy(_PART).orderBy(_AT)
+    near = runs.withColumns({"_prev": F.lag(key).over(within), "_next": F.lead(key).over(within)})
+    out = near.join(F.broadcast(ends), F.col(_PART) == F.col("_p"))
+    return out.select(*df.columns, F.coalesce("_prev", "_before").alias("prev_key"), F.coalesce("_next", "_after").alias("next_key"))
 
 
 def interval_sums(points: DataFrame, lo: Column, hi: Column, intervals: DataFrame, weights: dict[str, Column], *, group: str | None = None, interval_lo: str = "lo_key", interval_hi: str = "hi_key") -> DataFrame:
     """For each row of ``points`` the sums of ``weights`` over the intervals that overlap [lo, hi], ends included.
 
     An interval overlaps unless it ends before lo or begins after hi, so the sum is the weight of the
-    intervals that begin by hi less that of the intervals that end before lo: two running sums over one
-    sorted union instead of a join of ranges. A null lo or hi is an open end. ``group`` names a column
+    intervals that begin by hi less that of the intervals that end before lo: two running sums in one pass
+    over one sorted union instead of a join of ranges. A null lo or hi is an open end. ``group`` names a column
     (in both) within which rows are matched. Intervals with a null bound are left out.
     """
     rows = points.withColumn("_id", F.monotonically_increasing_id())
@@ -63,20 +74,20 @@ def interval_sums(points: DataFrame, lo: Column, hi: Column, intervals: DataFram
     g = F.col(group).cast("long") if group else F.lit(0).cast("long")
     ends = intervals.where(F.col(interval_lo).isNotNull() & F.col(interval_hi).isNotNull()).select(g.alias("_g"), F.col(interval_lo).alias("_ilo"), F.col(interval_hi).alias("_ihi"), *[v.alias(k) for k, v in weights.items()])
     none = {k: F.lit(0).cast("long") for k in weights}
-    both = lambda at, rank, sign: ends.select("_g", F.col(at).alias("_k"), F.lit(rank).alias("_rank"), F.lit(None).cast("long").alias("_id"), *[(F.col(k) * sign).alias(k) for k in weights])
-    ask = lambda at, rank: rows.select(g.alias("_g"), F.col(at).alias("_k"), F.lit(rank).alias("_rank"), "_id", *[v.alias(k) for k, v in none.items()]).where("_k IS NOT NULL")
-    order = [F.col("_g"), F.col("_k"), F.col("_rank")]
+    both = lambda at, rank, side: ends.select("_g", F.col(at).alias("_k"), F.lit(rank).alias("_rank"), F.lit(None).cast("long").alias("_id"), *[(F.col(k) if x == side else none[k]).alias(f"{x}_{k}") for x in "be" for k in weights])
+    ask = lambda at, rank: rows.select(g.alias("_g"), F.col(at).alias("_k"), F.lit(rank).alias("_rank"), "_id", *[none[k].alias(f"{x}_{k}") for x in "be" for k in weights]).where("_k IS NOT NULL")
     # begun by hi: beginnings sort before the question; ended before lo: the question sorts before ends
-    begun = running_sums(both("_ilo", 0, 1).unionByName(ask("_hi", 1)), order, {f"b_{k}": F.col(k) for k in weights}).where("_id IS NOT NULL")
-    ended = running_sums(both("_ihi", 1, 1).unionByName(ask("_lo", 0)), order, {f"e_{k}": F.col(k) for k in weights}).where("_id IS NOT NULL")
+    events = both("_ilo", 0, "b").unionByName(ask("_hi", 1)).unionByName(both("_ihi", 1, "e")).unionByName(ask("_lo", 0))
+    sums = {f"u{x}_{k}": F.col(f"{x}_{k}") for x in "be" for k in weights}
+    answers = running_sums(events, [F.col("_g"), F.col("_k"), F.col("_rank")], sums).where("_id IS NOT NULL")
+    of = lambda x, rank, k: F.max(F.when(F.col("_rank") == rank, F.col(f"u{x}_{k}"))).alias(f"{x}_{k}")
+    answers = answers.groupBy(F.col("_id").alias("_aid")).agg(*[of("b", 1, k) for k in weights], *[of("e", 0, k) for k in weights])
     # running sums span the groups: what the groups before contribute is taken off
     every = ends.select("_g", *weights).unionByName(rows.select(g.alias("_g"), *[v.alias(k) for k, v in none.items()]))
     totals = every.groupBy("_g").agg(*[F.sum(k).alias(f"s_{k}") for k in weights])
     earlier = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)  # one row a group
     before = totals.select("*", *[F.coalesce(F.sum(f"s_{k}").over(earlier), F.lit(0)).alias(f"o_{k}") for k in weights])
-    b = begun.select("_id", *[f"b_{k}" for k in weights]).withColumnRenamed("_id", "_bid")
-    e = ended.select("_id", *[f"e_{k}" for k in weights]).withColumnRenamed("_id", "_eid")
-    out = rows.join(b, F.col("_id") == F.col("_bid"), "left").join(e, F.col("_id") == F.col("_eid"), "left").withColumn("_g", g).join(before, "_g")
+    out = rows.join(answers, F.col("_id") == F.col("_aid"), "left").withColumn("_g", g).join(before, "_g")
     sums = []
     for k in weights:
         upto = F.coalesce(F.col(f"b_{k}") - F.col(f"o_{k}"), F.col(f"s_{k}"))

@@ -11,7 +11,7 @@ from tidemark.operators import compaction, merge, order, reads, versions, writes
 from tidemark.schema import NEWEST, oplog
 from tidemark.sources import connectors
 from tidemark.storage import scratch
-from tidemark.store import Options, Store
+from tidemark.store import Batch, Options, Snapshot, Store
 from tidemark.streaming import ingest
 
 SNAPSHOT = 5000
@@ -446,7 +446,14 @@ def key_text(spark, d):
     return log.select("seq", b.key_text(F.col("user_key"), F.col("seq"), F.col("op")).alias("text"), b.key_bytes(F.col("user_key")).alias("n_bytes"))
 
 
-@_query(None)
+_BYTES = "list_transform(range(0, length({h}) // 2), lambda i: CAST('0x' || substr({h}, 2 * i + 1, 2) AS BIGINT))"
+
+
+@_query(f"""WITH k AS (SELECT user_key, hex(user_key) AS a, lead(hex(user_key)) OVER (ORDER BY user_key) AS z FROM {_live()}),
+  x AS (SELECT *, {_BYTES.format(h="a")} AS p, {_BYTES.format(h="coalesce(z, '')")} AS q FROM k),
+  n AS (SELECT *, list_filter(range(1, 1 + least(len(p), len(q))), lambda i: p[i] <> q[i])[1] AS d, list_filter(range(1, 1 + len(p)), lambda i: p[i] <> 255)[1] AS s FROM x)
+  SELECT user_key, CASE WHEN z IS NULL THEN NULL WHEN d IS NULL OR p[d] + 1 >= q[d] THEN a ELSE left(a, CAST(2 * d - 2 AS BIGINT)) || printf('%02X', p[d] + 1) END AS separator,
+    CASE WHEN s IS NULL THEN a ELSE left(a, CAST(2 * s - 2 AS BIGINT)) || printf('%02X', p[s] + 1) END AS successor FROM n""")
 def separators(spark, d):
     """A separator of each live key and the next, and a successor of each."""
     near = order.neighbours(reads.scan(_feed(spark, d)).select("user_key"), "user_key")
@@ -454,7 +461,19 @@ def separators(spark, d):
     return near.select("user_key", F.hex(b.separator_of(key, after)).alias("separator"), F.hex(b.successor_of(key)).alias("successor"))
 
 
-@_query(None)
+# the fixed values are those of functions.bytes and functions.bloom
+_CRC = """xor(list_reduce(p, lambda c, x: list_reduce([1, 2, 3, 4, 5, 6, 7, 8], lambda a, y: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 2197175160) ELSE a >> 1 END, xor(c, x)), 4294967295), 4294967295)"""
+_M32 = "% 4294967296"
+_MIXED = f"((h + w) {_M32} * 3332679571::HUGEINT {_M32})::BIGINT"
+
+
+@_query(f"""WITH k AS (SELECT DISTINCT user_key, hex(user_key) AS h FROM {_LOG}), x AS (SELECT user_key, {_BYTES.format(h="h")} AS p, length(h) // 2 AS n FROM k),
+  c AS (SELECT user_key, p, n, {_CRC} AS crc32c, xor(3164544308, CAST(n * 3332679571::HUGEINT {_M32} AS BIGINT)) AS seed,
+    list_transform(range(0, n // 4), lambda i: p[4 * i + 1] + 256 * p[4 * i + 2] + 65536 * p[4 * i + 3] + 16777216 * p[4 * i + 4]) AS words FROM x),
+  m AS (SELECT *, list_reduce(words, lambda h, w: xor({_MIXED}, {_MIXED} >> 16), seed) AS h,
+    list_reduce(p[4 * (n // 4) + 1:], lambda a, y, i: a + y * (1 << CAST(8 * (i - 1) AS BIGINT)), CAST(0 AS BIGINT)) AS w FROM c)
+  SELECT user_key, CASE WHEN n % 4 = 0 THEN h ELSE xor({_MIXED}, {_MIXED} >> 24) END AS hash, crc32c,
+    (((crc32c >> 15) | ((crc32c & 32767) << 17)) + 2726488792) {_M32} AS stored FROM m""")
 def checksums(spark, d):
     """Hash, checksum and its stored form of each key."""
     key = F.col("user_key").cast("binary")
@@ -507,12 +526,18 @@ def table_roundtrip(spark, d):
     return back.select(F.col("user_key").cast("string").alias("user_key"), "seq", "op", F.col("value").cast("string").alias("value"))
 
 
-@_query("""SELECT DISTINCT lower(trim(kind)) AS kind, level, file_number, CASE WHEN lower(trim(kind)) = 'add' THEN coalesce(size, 0) END AS size, wal_number, prev_sequence_number
-  FROM edits WHERE edit_no IS NOT NULL""")
+_OF_ADD = "CASE WHEN lower(trim(kind)) = 'add' THEN coalesce({c}, {none}) END AS {c}"
+
+
+@_query(f"""SELECT DISTINCT lower(trim(kind)) AS kind, level, file_number, wal_number, prev_sequence_number,
+  {', '.join(_OF_ADD.format(c=c, none=n) for c, n in (("size", 0), ("lo_key", "''"), ("lo_seq", 0), ("hi_key", "''"), ("hi_seq", 0)))}
+  FROM edits WHERE edit_no IS NOT NULL AND lower(trim(kind)) IN ('add', 'delete', 'scalar')""")
 def manifest_roundtrip(spark, d):
     folder = scratch(spark, "manifests")
     connectors.write_manifests(_table(spark, d, "edits"), folder, files=4).collect()
-    return connectors.read_manifests(spark, folder).select("kind", "level", "file_number", "size", "wal_number", "prev_sequence_number").distinct()
+    back = connectors.read_manifests(spark, folder)
+    keys = {c: F.col(c).cast("string") for c in ("lo_key", "hi_key")}
+    return back.withColumns(keys).select("kind", "level", "file_number", "size", "lo_key", "lo_seq", "hi_key", "hi_seq", "wal_number", "prev_sequence_number").distinct()
 
 
 @_query(f"SELECT * FROM {_live()}")
@@ -564,11 +589,15 @@ def store_range_after_deletes(spark, d):
         return _text(store.range(LO.encode(), HI.encode(), snapshot))
 
 
-@_query("SELECT CAST(range AS INTEGER) AS level FROM range(7)")
+@_query(f"SELECT CAST(range AS INTEGER) AS level, CASE WHEN range = 1 THEN (SELECT count(*) FROM {_live()}) ELSE 0 END AS n_rows FROM range(7)")
 def store_statistics(spark, d):
-    with _loaded(spark, d) as store:
+    """Rows of each level of a store written in two parts, compacted and reopened: one live row a key, a level down."""
+    store, snapshot = _in_parts(spark, d)
+    with store:
+        store.release(snapshot)
         store.compact_range()
-        return store.statistics().select("level")
+    with Store(spark, store.path) as store:
+        return store.statistics().select("level", "n_rows")
 
 
 @_query(None)
@@ -577,3 +606,101 @@ def store_level_statistics(spark, d):
     with _loaded(spark, d) as store:
         store.compact_range()
         return store.statistics()
+
+
+def _in_parts(spark, d) -> tuple[Store, Snapshot]:
+    """A store whose files hold the first half of the log, compacted, and its bulk logs the second; a snapshot between them."""
+    log = _log(spark, d)
+    half, by = _half(_feed(spark, d)), [F.col("seq"), F.col("user_key")]
+    store = Store(spark, scratch(spark, "store"), Options(create_if_missing=True))
+    store.load(log.where(F.col("seq") <= half), order=by)
+    snapshot = store.snapshot()
+    store.compact_range()
+    store.append(log.where(F.col("seq") > half), order=by)
+    return store, snapshot
+
+
+_ASKED = "SELECT a.user_key, l.user_key IS NOT NULL AS found, l.value FROM (SELECT DISTINCT user_key FROM probes WHERE user_key IS NOT NULL) a LEFT JOIN {live} l USING (user_key)"
+
+
+def _asked(spark, d, store: Store, snapshot: Snapshot | None = None) -> DataFrame:
+    got = store.multi_get(_table(spark, d, "probes"), snapshot)
+    return got.select(F.col("user_key").cast("string").alias("user_key"), "found", F.col("value").cast("string").alias("value"))
+
+
+@_query(_ASKED.format(live=_live()))
+def store_get_newest(spark, d):
+    """All keys of the probes asked of a store with rows in files and in logs not yet flushed."""
+    with _in_parts(spark, d)[0] as store:
+        return _asked(spark, d, store)
+
+
+@_query(_ASKED.format(live=_live(f"seq <= {_HALF}")))
+def store_get_at_snapshot(spark, d):
+    """The same keys at a snapshot taken before the second half of the log was written, flushed and compacted."""
+    store, snapshot = _in_parts(spark, d)
+    with store:
+        store.compact_range()
+        return _asked(spark, d, store, snapshot)
+
+
+@_query(f"SELECT user_key, value FROM {_live(f'seq <= {_HALF}')}")
+def store_scan_before_compaction(spark, d):
+    """A scan handed out at a snapshot, read after the files it reads were compacted away."""
+    store, snapshot = _in_parts(spark, d)
+    with store:
+        rows = _text(store.scan(snapshot))
+        store.compact_range()
+        return rows
+
+
+@_query(f"SELECT user_key, value FROM {_live()}")
+def store_recovered(spark, d):
+    """The log written to a store's logs only, and the store opened again: the logs are replayed."""
+    store, _ = _in_parts(spark, d)
+    store.close()
+    with Store(spark, store.path) as store:
+        return _text(store.scan())
+
+
+@_query(f"SELECT user_key, value FROM {_live()} WHERE starts_with(user_key, '{PREFIX}')")
+def store_flushed_prefix(spark, d):
+    """A prefix read after logs were recovered, flushed to files, and the store opened once more."""
+    store, _ = _in_parts(spark, d)
+    store.close()
+    with Store(spark, store.path) as store:
+        store.flush()
+    with Store(spark, store.path) as store:
+        return _text(store.prefix(PREFIX.encode()))
+
+
+@_query("""SELECT user_key, coalesce(value, '') AS value FROM (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY batch_no DESC, ordinal DESC, op DESC, value DESC NULLS LAST) AS rn
+  FROM (SELECT DISTINCT * FROM batch) WHERE user_key IS NOT NULL AND op IN (0, 1) AND batch_no IS NOT NULL) WHERE rn = 1 AND op = 1""")
+def store_batches(spark, d):
+    """Every batch applied at once, one after the other, through the queue of writers; their rows stream through the driver."""
+    rows = _table(spark, d, "batch").where("user_key IS NOT NULL AND op IN (0, 1) AND batch_no IS NOT NULL").distinct()
+    rows = rows.orderBy("batch_no", "ordinal", "op", F.asc_nulls_first("value"))
+
+    def batches():
+        of, batch = None, Batch()
+        for r in rows.toLocalIterator():
+            if r.batch_no != of:
+                yield batch
+                of, batch = r.batch_no, Batch()
+            batch.put(r.user_key.encode(), (r.value or "").encode()) if r.op else batch.delete(r.user_key.encode())
+        yield batch
+
+    with Store(spark, scratch(spark, "store"), Options(create_if_missing=True)) as store:
+        store.apply_all(batches())
+        return _text(store.scan())
+
+
+@_query(f"""SELECT a.user_key, l.seq, l.op, CASE WHEN l.op = 1 THEN coalesce(l.value, '') END AS value FROM (SELECT DISTINCT user_key FROM probes WHERE user_key IS NOT NULL) a
+  JOIN (SELECT *, row_number() OVER (PARTITION BY user_key ORDER BY seq DESC, op DESC, value DESC NULLS LAST) AS rn FROM {_LOG} WHERE seq <= {_HALF}) l USING (user_key) WHERE rn = 1""")
+def table_get(spark, d):
+    """All keys of the probes asked of the op-log's table files, through index and filters, at half of the log."""
+    folder = scratch(spark, "tables")
+    connectors.write_tables(_log(spark, d), folder).collect()
+    snapshot = _feed(spark, d).agg(F.expr("max(seq) div 2")).first()[0]
+    got = connectors.lookup_tables(spark, folder, _table(spark, d, "probes").select(F.col("user_key").cast("binary").alias("key")), snapshot or 0)
+    return got.select(F.col("key").cast("string").alias("user_key"), "seq", "op", F.col("value").cast("string").alias("value"))

@@ -8,12 +8,14 @@ partition and puts each under a temporary name before its own, so a retried task
 from __future__ import annotations
 
 import uuid
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.schema import NEWEST
 from tidemark.sources import formats
 
 _ELEMENTS = "file string, start long, ordinal int, seq long, op int, user_key binary, value binary"
@@ -23,7 +25,7 @@ _EDITS = "file string, record int, kind string, level int, file_number long, siz
 FILE_BYTES = 2 << 20
 
 
-def _decode(spark: SparkSession, path: str, pattern: str, schema: str, rows: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
+def _decode(spark: SparkSession, path: str | list[str], pattern: str, schema: str, rows: Callable[[str, bytes], Iterator[tuple]]) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +37,7 @@ def _decode(spark: SparkSession, path: str, pattern: str, schema: str, rows: Cal
     return files.mapInPandas(decode, schema)
 
 
-def read_logs(spark: SparkSession, path: str, pattern: str = "*.log") -> DataFrame:
+def read_logs(spark: SparkSession, path: str | list[str], pattern: str = "*.log") -> DataFrame:
     """Elements of all batches in all logs below ``path``; records that are no batch are left out."""
 
     def rows(name: str, content: bytes) -> Iterator[tuple]:
@@ -55,6 +57,45 @@ def read_tables(spark: SparkSession, path: str, pattern: str = "*.rdb") -> DataF
     return _decode(spark, path, pattern, _ENTRIES, lambda name, content: ((name, *e) for e in formats.Table(content).entries()))
 
 
+def lookup_tables(spark: SparkSession, path: str, keys: DataFrame, snapshot: int = NEWEST, *, key: str = "key", pattern: str = "*.rdb", bands: int = 256) -> DataFrame:
+    """For each asked binary key that some table file holds up to the snapshot: key, seq, op, value of its newest entry.
+
+    Each file is asked, through its index and filters, for the keys in its range only: keys and files are cut
+    at the same keys, which are first keys of files evenly spread over them (one key a file reaches the driver),
+    so that no task holds more keys or files than about one part in ``bands`` has.
+    """
+
+    def bounds(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            for name, content in zip(pdf["path"], pdf["content"]):
+                t = formats.Table(bytes(content))
+                first, last = next(t.scan(), None), next(t.scan(reverse=True), None)
+                if first:
+                    yield pd.DataFrame({"path": [name], "content": [bytes(content)], "lo": [first[0]], "hi": [last[0]]})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+    files = files.mapInPandas(bounds, "path string, content binary, lo binary, hi binary")
+    asked = keys.where(F.col(key).isNotNull()).select(F.col(key).cast("binary").alias("key")).distinct()
+    firsts = sorted({bytes(r.lo) for r in files.select("lo").collect()})
+    splits = firsts[:: -(-len(firsts) // bands) or 1][1:]
+    band = lambda c: F.size(F.filter(F.array(*[F.lit(bytearray(x)) for x in splits]), lambda x: x <= F.col(c))) if splits else F.lit(0)
+    asked = asked.withColumn("band", band("key"))
+    files = files.withColumn("band", F.explode(F.sequence(band("lo"), band("hi"))))
+
+    def ask(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        wanted = sorted(map(bytes, left["key"]))
+        rows = []
+        for content, lo, hi in zip(right["content"], right["lo"], right["hi"]):
+            t = formats.Table(bytes(content))
+            for k in wanted[bisect_left(wanted, bytes(lo)) : bisect_right(wanted, bytes(hi))]:
+                if found := t.get(k, snapshot):
+                    rows.append((k, *found))
+        return pd.DataFrame(rows, columns=["key", "seq", "op", "value"])
+
+    found = asked.groupBy("band").cogroup(files.groupBy("band")).applyInPandas(ask, "key binary, seq long, op int, value binary")
+    return found.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("_e")).select("key", "_e.*")
+
+
 def read_manifests(spark: SparkSession, path: str, pattern: str = "*.manifest") -> DataFrame:
     """One row for each scalar set, file deleted and file added, in the order of the records of each file."""
 
@@ -87,10 +128,12 @@ def put_file(folder: str, name: str, content: bytes) -> None:
 def write_tables(entries: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES, partitions: int | None = None) -> DataFrame:
     """Entries (user_key binary, seq, op, value binary; distinct by key and seq) as table files of about ``file_bytes``.
 
-    Files have disjoint ranges of keys within a partition of ranges. Returns name, number of entries and bytes.
+    Files hold following ranges, cut by key and, within a key of many entries, by sequence number, so that no
+    task holds more than one file. Returns name, number of entries and bytes.
     """
     columns = entries.select(F.col("user_key").cast("binary").alias("user_key"), F.col("seq").cast("long").alias("seq"), F.col("op").cast("int").alias("op"), F.col("value").cast("binary").alias("value"))
-    parted = columns.repartitionByRange(partitions, "user_key") if partitions else columns.repartitionByRange("user_key")
+    order = [F.col("user_key"), F.desc("seq")]
+    parted = columns.repartitionByRange(partitions, *order) if partitions else columns.repartitionByRange(*order)
     token = uuid.uuid4().hex[:8]
 
     def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,17 +154,17 @@ def write_tables(entries: DataFrame, folder: str, *, file_bytes: int = FILE_BYTE
         for pdf in parts:
             for key, seq, op, value in zip(pdf["user_key"], pdf["seq"], pdf["op"], pdf["value"]):
                 key = bytes(key)
-                if size >= file_bytes and held[-1][0] != key:
+                if size >= file_bytes:
                     yield close()
                 held.append((key, int(seq), int(op), None if value is None else bytes(value)))
                 size += len(key) + 9 + (len(value) if value is not None else 0)
         if held:
             yield close()
 
-    return parted.sortWithinPartitions("user_key", F.desc("seq")).mapInPandas(write, "name string, n_entries long, n_bytes long")
+    return parted.sortWithinPartitions(*order).mapInPandas(write, "name string, n_entries long, n_bytes long")
 
 
-def write_logs(elements: DataFrame, folder: str, *, files: int) -> DataFrame:
+def write_logs(elements: DataFrame, folder: str, *, files: int, prefix: str = "wal-") -> DataFrame:
     """Operations (user_key, seq, op, value) as logs: each run of following seqs is a batch, about ``files`` files by ranges of seq.
 
     Rows must be distinct by seq. Returns name and number of records.
@@ -145,7 +188,7 @@ def write_logs(elements: DataFrame, folder: str, *, files: int) -> DataFrame:
 
         def end_file() -> pd.DataFrame:
             nonlocal records, content, done
-            name = f"wal-{token}-{part:06d}-{done:06d}.log"
+            name = f"{prefix}{token}-{part:06d}-{done:06d}.log"
             put_file(folder, name, bytes(content))
             out = pd.DataFrame({"name": [name], "n_records": [records]})
             records, content, done = 0, bytearray(), done + 1

@@ -6,8 +6,10 @@ These functions handle one file or one record; ``connectors`` runs them over man
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import dropwhile
 
 import pyarrow as pa
 
@@ -25,7 +27,7 @@ from tidemark.functions.bytes import (
     unmask,
     varint,
 )
-from tidemark.schema import DELETE, LEVELS, PUT
+from tidemark.schema import DELETE, LEVELS, NEWEST, PUT
 
 # Fixed values of the formats.
 LOG_BLOCK = 32 * 1024
@@ -39,6 +41,26 @@ FILTER_RANGE_BITS = 11
 FILTER_NAME = "filter.tidemark.BloomFilter"
 
 
+@dataclass(frozen=True)
+class FilterPolicy:
+    """How filters of one name are built from keys and bits a key, and asked for a key."""
+
+    build: Callable[[list[bytes], int], bytes]
+    may_match: Callable[[bytes, bytes], bool]
+
+
+#: Policies by the name that a table file gives for its filter.
+FILTERS: dict[str, FilterPolicy] = {}
+
+
+def register_filter(name: str, policy: FilterPolicy) -> None:
+    """Make filters of this name known, for files of any origin."""
+    FILTERS[name] = policy
+
+
+register_filter(FILTER_NAME, FilterPolicy(lambda keys, bits: bloom.build(keys, bits), lambda key, f: bool(bloom.may_match([key], [f])[0])))
+
+
 # --- batches
 
 
@@ -149,14 +171,20 @@ def encode_block(entries: Iterable[tuple[bytes, bytes]], restart: int = RESTART_
     return bytes(out) + b"".join(struct.pack("<I", r) for r in restarts) + struct.pack("<I", len(restarts))
 
 
-def decode_block(data: bytes) -> list[tuple[bytes, bytes]]:
+def _restarts(data: bytes) -> tuple[int, int]:
+    """(number of restarts, where the entries end)."""
     if len(data) < 4:
         raise ValueError("block cut off")
-    n_restarts = struct.unpack_from("<I", data, len(data) - 4)[0]
-    end = len(data) - 4 - 4 * n_restarts
+    n = struct.unpack_from("<I", data, len(data) - 4)[0]
+    end = len(data) - 4 - 4 * n
     if end < 0:
         raise ValueError("block has more restarts than room")
-    out, last, at = [], b"", 0
+    return n, end
+
+
+def _entries_from(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, bytes]]:
+    """Entries from a restart on."""
+    last = b""
     while at < end:
         shared, at = read_varint(data, at, 32)
         fresh, at = read_varint(data, at, 32)
@@ -164,9 +192,25 @@ def decode_block(data: bytes) -> list[tuple[bytes, bytes]]:
         if shared > len(last) or at + fresh + size > end:
             raise ValueError("entry cut off")
         last = last[:shared] + data[at : at + fresh]
-        out.append((last, data[at + fresh : at + fresh + size]))
+        yield last, data[at + fresh : at + fresh + size]
         at += fresh + size
-    return out
+
+
+def decode_block(data: bytes) -> list[tuple[bytes, bytes]]:
+    return list(_entries_from(data, 0, _restarts(data)[1]))
+
+
+def seek_block(data: bytes, target, order: Callable) -> list[tuple[bytes, bytes]]:
+    """Entries from the first whose ``order(key)`` is not below the target, found by halving the restarts."""
+    n, end = _restarts(data)
+    offset = lambda i: struct.unpack_from("<I", data, end + 4 * i)[0]
+    below = lambda i: order(next(_entries_from(data, offset(i), end), (b"",))[0]) < target
+    lo, hi = 0, n  # restarts before lo begin below the target, those from hi on do not
+    while lo < hi and end:
+        middle = (lo + hi) // 2
+        lo, hi = (middle + 1, hi) if below(middle) else (lo, middle)
+    entries = _entries_from(data, offset(max(0, lo - 1)) if n else 0, end)
+    return list(dropwhile(lambda e: order(e[0]) < target, entries))
 
 
 def snappy_frames(data: bytes) -> bytes:
@@ -233,12 +277,13 @@ def _read_handle(data: bytes, at: int = 0) -> tuple[tuple[int, int], int]:
 # --- filter block
 
 
-def encode_filter_block(blocks: list[tuple[int, list[bytes]]], bits_per_key: int = 10) -> bytes:
+def encode_filter_block(blocks: list[tuple[int, list[bytes]]], bits_per_key: int = 10, policy: FilterPolicy | None = None) -> bytes:
     """``blocks``: (offset of a data block, its user keys). One filter for each 2 KiB of offsets, empty ones too."""
     by_range: dict[int, list[bytes]] = {}
     for at, keys in blocks:
         by_range.setdefault(at >> FILTER_RANGE_BITS, []).extend(keys)
-    filters = [bloom.build(by_range[i], bits_per_key) if i in by_range else b"" for i in range(max(by_range) + 1)] if by_range else []
+    build = (policy or FILTERS[FILTER_NAME]).build
+    filters = [build(by_range[i], bits_per_key) if i in by_range else b"" for i in range(max(by_range) + 1)] if by_range else []
     offsets, at = [], 0
     for f in filters:
         offsets.append(at)
@@ -258,12 +303,12 @@ def decode_filter_block(data: bytes) -> tuple[list[bytes], int]:
     return [data[ends[i] : ends[i + 1]] for i in range(n)], bits
 
 
-def filter_may_match(filters: list[bytes], bits: int, offset: int, key: bytes) -> bool:
+def filter_may_match(filters: list[bytes], bits: int, offset: int, key: bytes, policy: FilterPolicy | None = None) -> bool:
     """Whether the filter over ``offset`` may hold the key. An empty filter holds none; a missing one may hold any."""
     i = offset >> bits
     if i >= len(filters):
         return True
-    return bool(filters[i]) and bool(bloom.may_match([key], [filters[i]])[0])
+    return bool(filters[i]) and (policy or FILTERS[FILTER_NAME]).may_match(key, filters[i])
 
 
 # --- table file
@@ -307,7 +352,7 @@ def encode_table(entries: Iterable[tuple[bytes, int, int, bytes | None]], *, blo
     flush()
     if pending is not None:
         index.append((encode_internal_key(*internal_successor(last)), pending))
-    filter_handle = put(encode_filter_block(filters, bits_per_key), compress=False)
+    filter_handle = put(encode_filter_block(filters, bits_per_key, FILTERS.get(filter_name)), compress=False)
     meta = put(encode_block([(filter_name.encode(), filter_handle)]))
     top = put(encode_block(index, restart=1))
     footer = meta + top
@@ -316,13 +361,13 @@ def encode_table(entries: Iterable[tuple[bytes, int, int, bytes | None]], *, blo
 
 @dataclass
 class Table:
-    """An opened table file. A filter that cannot be read is done without."""
+    """An opened table file. Its filter is used when its name is registered; one that cannot be read is done without."""
 
     data: bytes
     magic: int = MAGIC
-    filter_name: str = FILTER_NAME
     index: list = field(init=False)
     filters: tuple | None = field(init=False, default=None)
+    policy: FilterPolicy | None = field(init=False, default=None)
 
     def __post_init__(self):
         if len(self.data) < FOOTER_BYTES:
@@ -334,33 +379,60 @@ class Table:
         top, _ = _read_handle(footer, at)
         self.index = [(decode_internal_key(k), _read_handle(v)[0]) for k, v in decode_block(_load(self.data, top))]
         try:
-            found = dict(decode_block(_load(self.data, meta))).get(self.filter_name.encode())
-            self.filters = decode_filter_block(_load(self.data, _read_handle(found)[0])) if found else None
+            for name, handle in decode_block(_load(self.data, meta)):
+                if policy := FILTERS.get(name.decode(errors="replace")):
+                    self.filters, self.policy = decode_filter_block(_load(self.data, _read_handle(handle)[0])), policy
         except ValueError:
-            self.filters = None
+            self.filters = self.policy = None
+
+    def _block(self, i: int) -> bytes:
+        return _load(self.data, self.index[i][1])
+
+    def _first_block(self, key: bytes, seq: int) -> int:
+        """The first block whose last entry is not before the one asked for."""
+        return bisect_left(self.index, (key, -seq), key=lambda e: (e[0][0], -e[0][1]))
 
     def entries(self) -> Iterator[tuple[bytes, int, int, bytes | None]]:
-        for _, handle in self.index:
-            for k, v in decode_block(_load(self.data, handle)):
-                key, seq, op = decode_internal_key(k)
-                yield key, seq, op, v if op == PUT else None
+        return self.scan()
+
+    def scan(self, key: bytes | None = None, reverse: bool = False) -> Iterator[tuple[bytes, int, int, bytes | None]]:
+        """Entries (key, seq, op, value) from the key on, or backwards from before it; all of them without a key.
+
+        Block after block is read as the scan gets there.
+        """
+        start = 0 if key is None else self._first_block(key, NEWEST)
+        if not reverse:
+            for i in range(start, len(self.index)):
+                block = self._block(i)
+                part = decode_block(block) if i > start or key is None else seek_block(block, key, lambda k: decode_internal_key(k)[0])
+                yield from map(_entry, part)
+        else:
+            for i in range(min(start, len(self.index) - 1) if key is not None else len(self.index) - 1, -1, -1):
+                for e in map(_entry, reversed(decode_block(self._block(i)))):
+                    if key is None or e[0] < key:
+                        yield e
 
     def get(self, key: bytes, snapshot: int) -> tuple[int, int, bytes | None] | None:
         """(seq, op, value) of the newest entry of the key up to the snapshot; None when the file has none."""
-        for (last, last_seq, _), handle in self.index:
-            if (last, -last_seq) < (key, -snapshot):
-                continue
-            if self.filters and not filter_may_match(*self.filters, handle[0], key):
-                return None
-            for k, v in decode_block(_load(self.data, handle)):
-                found, seq, op = decode_internal_key(k)
-                if found == key and seq <= snapshot:
-                    return seq, op, v if op == PUT else None
-                if found > key:
-                    return None
+        i = self._first_block(key, snapshot)
+        if i == len(self.index) or self.filters and not filter_may_match(*self.filters, self.index[i][1][0], key, self.policy):
+            return None
+
+        def place(internal: bytes) -> tuple[bytes, int]:
+            k, seq, _ = decode_internal_key(internal)
+            return k, -seq
+
+        found = seek_block(self._block(i), (key, -snapshot), place)
+        if found and (e := _entry(found[0]))[0] == key:
+            return e[1:]
         return None
 
 
+def _entry(raw: tuple[bytes, bytes]) -> tuple[bytes, int, int, bytes | None]:
+    key, seq, op = decode_internal_key(raw[0])
+    return key, seq, op, raw[1] if op == PUT else None
+
+
 # --- manifest edits
 
 _WAL, _FILE, _SEQUENCE, _POINTER, _DELETED, _NEW, _PREV_WAL = 2, 3, 4, 5, 6, 7, 9

@@ -149,6 +149,16 @@ class Files:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(self.path(name)) if s.isDirectory())
 
+    def walk(self, name: str = "") -> list[str]:
+        """Paths below the root of all plain files below ``name``, at any depth; empty when it is missing."""
+        if not self.exists(name):
+            return []
+        root = self.path("").toUri().getPath().rstrip("/") + "/"
+        found, out = self.fs.listFiles(self.path(name), True), []
+        while found.hasNext():
+            out.append(found.next().getPath().toUri().getPath().removeprefix(root))
+        return sorted(out)
+
     def delete(self, name: str = "") -> None:
         self.fs.delete(self.path(name), True)
 
