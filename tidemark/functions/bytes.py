@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.schema import DELETE, NEWEST, PUT
+from tidemark.schema import DELETE, NEWEST, PUT, parse_op
 
 # Fixed values of the checksum: reflected Castagnoli polynomial, and the mask of stored checksums.
 CASTAGNOLI = 0x82F63B78
@@ -63,18 +63,26 @@ def crc32c(data: bytes, crc: int = 0) -> int:
     return c ^ _U32
 
 
+#: Byte strings from which a position of all of them is cheaper at once than one string after the other.
+_LANES = 32
+
+
 def crc32c_all(rows: list[bytes]) -> np.ndarray:
-    """Checksums of many byte strings, a position at a time over all of them."""
+    """Checksums of many byte strings: a position at a time over all of them, the last few longest one by one."""
     lengths = np.array([len(r) for r in rows], dtype=np.int64)
     order = np.argsort(-lengths, kind="stable")
     data = np.frombuffer(b"".join(rows) + b"\0", dtype=np.uint8)
     start = (np.cumsum(lengths) - lengths)[order]
-    longest = lengths[order]
+    longest = -lengths[order]
     c = np.full(len(rows), _U32, dtype=np.uint32)
     table = _crc_table()
-    for i in range(int(longest[0]) if len(rows) else 0):
-        n = int(np.searchsorted(-longest, -i, side="left"))
+    together = int(-longest[_LANES]) if len(rows) > _LANES else 0
+    ends = np.searchsorted(longest, -np.arange(together), side="left")  # rows that have the position
+    for i in range(together):
+        n = ends[i]
         c[:n] = table[(c[:n] ^ data[start[:n] + i]) & np.uint32(0xFF)] ^ (c[:n] >> np.uint32(8))
+    for j in range(min(_LANES, len(rows))):
+        c[j] = crc32c(rows[order[j]][together:], int(c[j]) ^ _U32) ^ _U32
     out = np.empty_like(c)
     out[order] = c ^ np.uint32(_U32)
     return out
@@ -138,9 +146,20 @@ def decode_internal_key(data: bytes) -> tuple[bytes, int, int]:
     return bytes(data[:-9]), int.from_bytes(data[-9:-1], "little"), data[-1]
 
 
+# Characters that are shown escaped.
+ESCAPES = {"\\": "\\\\", '"': '\\"', "'": "\\'", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\0": "\\0"}
+
+
 def key_text(key: Column, seq: Column, op: Column) -> Column:
-    """``key @ seq : Op`` as logs show an internal key."""
-    return F.concat(key.cast("string"), F.lit(" @ "), seq.cast("string"), F.lit(" : "), F.when(op == PUT, "Put").when(op == DELETE, "Delete"))
+    """``key @ seq : Op`` as logs show an internal key; an unknown operation is an error.
+
+    Bytes that are no UTF-8 become replacement characters; quotes, backslashes and control characters of
+    ``ESCAPES`` are escaped.
+    """
+    text = F.make_valid_utf8(key.cast("string"))
+    for plain, shown in ESCAPES.items():
+        text = F.replace(text, F.lit(plain), F.lit(shown))
+    return F.concat(text, F.lit(" @ "), seq.cast("string"), F.lit(" : "), parse_op(op))
 
 
 def key_bytes(key: Column) -> Column:
@@ -148,7 +167,6 @@ def key_bytes(key: Column) -> Column:
     return F.octet_length(key) + 9
 
 
-
 def file_number(name: Column) -> Column:
     """Number in the name of a table, log, manifest or temporary file; null for other names."""
     n = F.regexp_extract(F.regexp_extract(name, r"([^/]*)$", 1), r"^(?:(?:wal-|MANIFEST-)?(\d+)\.(?:rdb|parquet|log|manifest|dbtemp))$", 1)

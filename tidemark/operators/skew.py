@@ -22,17 +22,6 @@ def value_frequencies(df: DataFrame, key: Sequence[str], value: Sequence[str], *
     return df.groupBy(*key, *value).agg(F.count(F.lit(1)).alias(WEIGHT), *[c.alias(name) for name, c in more.items()])
 
 
-def weighted_distinct(freq: DataFrame, key: Sequence[str], value: str, out: str) -> DataFrame:
-    """Exact number of distinct non-null values of each key."""
-    return freq.groupBy(*key).agg(F.count(value).alias(out))
-
-
-def weighted_mode(freq: DataFrame, key: Sequence[str], value: str, out: str) -> DataFrame:
-    """Most frequent non-null value of each key; the least among equally frequent ones. ``value`` is a number."""
-    best = F.max(F.when(F.col(value).isNotNull(), F.struct(F.col(WEIGHT), (-F.col(value)).alias("v"))))
-    return freq.groupBy(*key).agg(best.alias("_best")).select(*key, (-F.col("_best.v")).alias(out))
-
-
 def weighted_percentiles(freq: DataFrame, key: Sequence[str], value: str, ps: dict[str, float], *, digit_bits: int = 11, value_bits: int = 33) -> DataFrame:
     """Exact discrete percentiles of non-negative integers below 2**value_bits, one column for each of ``ps``.
 
@@ -107,4 +96,7 @@ def value_profile(df: DataFrame, *, group: Sequence[str] = (), key: str = "user_
     counts = by_size.groupBy(*cols).agg(
         F.sum("_values").alias("n_values"), F.max(F.struct(F.col(WEIGHT), (-F.col("_size")).alias("v"))).alias("_best")
     ).select(*cols, "n_values", (-F.col("_best.v")).alias("mode_bytes"))
-    return counts.join(weighted_percentiles(by_size, cols, "_size", {"p50_bytes": 0.5, "p95_bytes": 0.95}), cols)
+    # digits above those of the greatest size are zero for every value
+    greatest = by_size.agg(F.max("_size")).first()[0] or 0
+    percentiles = weighted_percentiles(by_size, cols, "_size", {"p50_bytes": 0.5, "p95_bytes": 0.95}, value_bits=max(1, greatest.bit_length()))
+    return counts.join(percentiles, cols)

@@ -440,7 +440,14 @@ def memtable_statistics(spark, d):
 # --- functions
 
 
-@_query("SELECT seq, user_key || ' @ ' || seq || ' : ' || CASE op WHEN 1 THEN 'Put' ELSE 'Delete' END AS text, strlen(user_key) + 9 AS n_bytes FROM " + _LOG)
+def _escaped(key: str) -> str:
+    for plain, shown in b.ESCAPES.items():
+        chars = " || ".join(f"chr({ord(c)})" for c in shown)
+        key = f"replace({key}, chr({ord(plain)}), {chars})"
+    return key
+
+
+@_query(f"SELECT seq, {_escaped('user_key')} || ' @ ' || seq || ' : ' || CASE op WHEN 1 THEN 'Put' ELSE 'Delete' END AS text, strlen(user_key) + 9 AS n_bytes FROM {_LOG}")
 def key_text(spark, d):
     log = _log(spark, d)
     return log.select("seq", b.key_text(F.col("user_key"), F.col("seq"), F.col("op")).alias("text"), b.key_bytes(F.col("user_key")).alias("n_bytes"))

@@ -30,5 +30,5 @@ def oplog(df: DataFrame, *, key: str | Column = "user_key", seq: str | Column =
 
 
 def parse_op(code: Column) -> Column:
-    """The operation of a code; another code is an error."""
-    return F.when(code == DELETE, "Delete").when(code == PUT, "Put").otherwise(F.raise_error(F.concat(F.lit("unknown operation "), code.cast("string"))))
+    """The operation of a code; another code is an error, null is null."""
+    return F.when(code == DELETE, "Delete").when(code == PUT, "Put").when(code.isNotNull(), F.raise_error(F.concat(F.lit("unknown operation "), code.cast("string"))))

@@ -120,9 +120,14 @@ def put_file(folder: str, name: str, content: bytes) -> None:
     system, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
     system.create_dir(root, recursive=True)
     temporary = f"{root}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(temporary) as out:
-        out.write(content)
-    system.move(temporary, f"{root}/{name}")
+    try:
+        with system.open_output_stream(temporary) as out:
+            out.write(content)
+        system.move(temporary, f"{root}/{name}")
+    except Exception:
+        if system.get_file_info(temporary).is_file:
+            system.delete_file(temporary)
+        raise
 
 
 def write_tables(entries: DataFrame, folder: str, *, file_bytes: int = FILE_BYTES, partitions: int | None = None) -> DataFrame:

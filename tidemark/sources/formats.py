@@ -16,6 +16,7 @@ import pyarrow as pa
 from tidemark.functions import bloom
 from tidemark.functions.bytes import (
     crc32c,
+    crc32c_all,
     decode_internal_key,
     encode_internal_key,
     internal_separator,
@@ -213,19 +214,31 @@ def seek_block(data: bytes, target, order: Callable) -> list[tuple[bytes, bytes]
     return list(dropwhile(lambda e: order(e[0]) < target, entries))
 
 
-def snappy_frames(data: bytes) -> bytes:
-    """``data`` in the framing format of snappy."""
+_FRAME = 65536
+
+
+def _framed(parts: list[bytes], sums: list[int]) -> bytes:
     codec, out = pa.Codec("snappy"), [b"\xff\x06\x00\x00sNaPpY"]
-    for i in range(0, len(data), 65536):
-        part = data[i : i + 65536]
+    for part, crc in zip(parts, sums):
         small = codec.compress(part, asbytes=True)
         kind, body = (0, small) if len(small) < len(part) else (1, part)
-        out.append(bytes([kind]) + (len(body) + 4).to_bytes(3, "little") + struct.pack("<I", mask(crc32c(part))) + body)
+        out.append(bytes([kind]) + (len(body) + 4).to_bytes(3, "little") + struct.pack("<I", mask(crc)) + body)
     return b"".join(out)
 
 
-def unsnappy_frames(data: bytes) -> bytes:
-    codec, out, at = pa.Codec("snappy"), [], 0
+def _parts(data: bytes) -> list[bytes]:
+    return [data[i : i + _FRAME] for i in range(0, len(data), _FRAME)]
+
+
+def snappy_frames(data: bytes) -> bytes:
+    """``data`` in the framing format of snappy."""
+    parts = _parts(data)
+    return _framed(parts, [crc32c(p) for p in parts])
+
+
+def _unframed(data: bytes) -> tuple[list[bytes], list[int]]:
+    """(parts, their checksums as stored)."""
+    codec, parts, sums, at = pa.Codec("snappy"), [], [], 0
     while at + 4 <= len(data):
         kind, size = data[at], int.from_bytes(data[at + 1 : at + 4], "little")
         body = data[at + 4 : at + 4 + size]
@@ -234,34 +247,51 @@ def unsnappy_frames(data: bytes) -> bytes:
             part = bytes(body[4:])
             if kind == 0:
                 part = codec.decompress(part, decompressed_size=read_varint(part, 0, 32)[0], asbytes=True)
-            if crc32c(part) != unmask(struct.unpack_from("<I", body)[0]):
-                raise ValueError("checksum of a frame is wrong")
-            out.append(part)
+            parts.append(part)
+            sums.append(unmask(struct.unpack_from("<I", body)[0]))
         elif 2 <= kind <= 0x7F:
             raise ValueError("frame of unknown kind")
-    return b"".join(out)
+    return parts, sums
 
 
-def _stored(block: bytes, compress: bool = True) -> bytes:
-    """A block as it is stored: compressed where that saves an eighth, then its kind and checksum."""
-    small = snappy_frames(block) if compress else block
-    body, kind = (small, SNAPPY) if compress and len(small) < len(block) - len(block) // 8 else (block, RAW)
-    tail = body + bytes([kind])
-    return tail + struct.pack("<I", mask(crc32c(tail)))
+def unsnappy_frames(data: bytes) -> bytes:
+    parts, sums = _unframed(data)
+    if crc32c_all(parts).tolist() != sums:
+        raise ValueError("checksum of a frame is wrong")
+    return b"".join(parts)
 
 
-def _load(data: bytes, handle: tuple[int, int]) -> bytes:
-    at, size = handle
-    tail = data[at : at + size + 1]
-    if len(tail) < size + 1 or len(data) < at + size + 5:
+def _stored(blocks: list[bytes], compress: bool = True) -> list[bytes]:
+    """Blocks as they are stored: compressed where that saves an eighth, then kind and checksum.
+
+    Checksums are computed for all blocks together.
+    """
+    small = blocks
+    if compress:
+        parts = [_parts(block) for block in blocks]
+        sums = iter(crc32c_all([p for ps in parts for p in ps]).tolist())
+        small = [_framed(ps, [next(sums) for _ in ps]) for ps in parts]
+    tails = [s + bytes([SNAPPY]) if compress and len(s) < len(block) - len(block) // 8 else block + bytes([RAW]) for s, block in zip(small, blocks)]
+    return [tail + struct.pack("<I", mask(crc)) for tail, crc in zip(tails, crc32c_all(tails).tolist())]
+
+
+def _load_all(data: bytes, handles: list[tuple[int, int]]) -> list[bytes]:
+    """The blocks at the handles, checksums verified for all of them together."""
+    if any(len(data) < at + size + 5 for at, size in handles):
         raise ValueError("block cut off")
-    if crc32c(tail) != unmask(struct.unpack_from("<I", data, at + size + 1)[0]):
+    tails = [data[at : at + size + 1] for at, size in handles]
+    if crc32c_all(tails).tolist() != [unmask(struct.unpack_from("<I", data, at + size + 1)[0]) for at, size in handles]:
         raise ValueError("checksum of a block is wrong")
-    if tail[-1] == SNAPPY:
-        return unsnappy_frames(tail[:-1])
-    if tail[-1] == RAW:
-        return tail[:-1]
-    raise ValueError("block of unknown compression")
+    if any(tail[-1] not in (RAW, SNAPPY) for tail in tails):
+        raise ValueError("block of unknown compression")
+    framed = {i: _unframed(tail[:-1]) for i, tail in enumerate(tails) if tail[-1] == SNAPPY}
+    if crc32c_all([p for ps, _ in framed.values() for p in ps]).tolist() != [s for _, sums in framed.values() for s in sums]:
+        raise ValueError("checksum of a frame is wrong")
+    return [b"".join(framed[i][0]) if i in framed else tail[:-1] for i, tail in enumerate(tails)]
+
+
+def _load(data: bytes, handle: tuple[int, int]) -> bytes:
+    return _load_all(data, [handle])[0]
 
 
 def _handle(at: int, size: int) -> bytes:
@@ -316,45 +346,37 @@ def filter_may_match(filters: list[bytes], bits: int, offset: int, key: bytes, p
 
 def encode_table(entries: Iterable[tuple[bytes, int, int, bytes | None]], *, block_bytes: int = 4096, bits_per_key: int = 10, filter_name: str = FILTER_NAME) -> bytes:
     """Entries (key, seq, op, value) in internal order as a table file; out of order raises ValueError."""
-    out = bytearray()
-    index: list[tuple[bytes, bytes]] = []
-    filters: list[tuple[int, list[bytes]]] = []
-    block: list[tuple[bytes, bytes]] = []
-    keys: list[bytes] = []
-    size, last, pending = 0, None, None
-
-    def put(raw: bytes, compress: bool = True) -> bytes:
-        stored = _stored(raw, compress)
-        handle = _handle(len(out), len(stored) - 5)
-        out.extend(stored)
-        return handle
-
-    def flush() -> None:
-        nonlocal block, keys, size, pending
-        if block:
-            filters.append((len(out), keys))
-            pending = put(encode_block(block))
-            block, keys, size = [], [], 0
-
+    blocks: list[tuple[list[tuple[bytes, bytes]], list[bytes]]] = []  # entries as written, user keys
+    ends: list[tuple] = []  # first and last entry of each block
+    size, last = block_bytes, None
     for key, seq, op, value in entries:
         if last is not None and (key, -seq) <= (last[0], -last[1]):
             raise ValueError(f"{key!r} @ {seq} is out of order")
-        if pending is not None:
-            index.append((encode_internal_key(*internal_separator(last, (key, seq, op))), pending))
-            pending = None
-        entry = (encode_internal_key(key, seq, op), value or b"")
-        block.append(entry)
-        keys.append(key)
-        size += len(entry[0]) + len(entry[1]) + 3
-        last = (key, seq, op)
         if size >= block_bytes:
-            flush()
-    flush()
-    if pending is not None:
-        index.append((encode_internal_key(*internal_successor(last)), pending))
-    filter_handle = put(encode_filter_block(filters, bits_per_key, FILTERS.get(filter_name)), compress=False)
-    meta = put(encode_block([(filter_name.encode(), filter_handle)]))
-    top = put(encode_block(index, restart=1))
+            blocks.append(([], []))
+            ends.append(((key, seq, op), (key, seq, op)))
+            size = 0
+        last = (key, seq, op)
+        entry = (encode_internal_key(*last), value or b"")
+        blocks[-1][0].append(entry)
+        blocks[-1][1].append(key)
+        ends[-1] = (ends[-1][0], last)
+        size += len(entry[0]) + len(entry[1]) + 3
+    out = bytearray()
+
+    def put(stored: bytes) -> bytes:
+        out.extend(stored)
+        return _handle(len(out) - len(stored), len(stored) - 5)
+
+    index: list[tuple[bytes, bytes]] = []
+    filters: list[tuple[int, list[bytes]]] = []
+    for i, ((_, keys), stored) in enumerate(zip(blocks, _stored([encode_block(of) for of, _ in blocks]))):
+        filters.append((len(out), keys))
+        bound = internal_separator(ends[i][1], ends[i + 1][0]) if i + 1 < len(ends) else internal_successor(ends[i][1])
+        index.append((encode_internal_key(*bound), put(stored)))
+    filter_handle = put(_stored([encode_filter_block(filters, bits_per_key, FILTERS.get(filter_name))], compress=False)[0])
+    meta = put(_stored([encode_block([(filter_name.encode(), filter_handle)])])[0])
+    top = put(_stored([encode_block(index, restart=1)])[0])
     footer = meta + top
     return bytes(out) + footer + bytes(FOOTER_BYTES - 8 - len(footer)) + struct.pack("<Q", MAGIC)
 
@@ -393,7 +415,9 @@ class Table:
         return bisect_left(self.index, (key, -seq), key=lambda e: (e[0][0], -e[0][1]))
 
     def entries(self) -> Iterator[tuple[bytes, int, int, bytes | None]]:
-        return self.scan()
+        """All entries; the whole file is verified first."""
+        for block in _load_all(self.data, [handle for _, handle in self.index]):
+            yield from map(_entry, decode_block(block))
 
     def scan(self, key: bytes | None = None, reverse: bool = False) -> Iterator[tuple[bytes, int, int, bytes | None]]:
         """Entries (key, seq, op, value) from the key on, or backwards from before it; all of them without a key.

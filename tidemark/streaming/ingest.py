@@ -15,9 +15,13 @@ STATE = "seq long, op int, value string"
 OUT = "user_key string, seq long, op int, value string"
 
 
-def read_changes(spark: SparkSession, path: str, schema, *, max_files: int = 100) -> DataFrame:
-    """Files of changes as a stream; ``max_files`` bounds what one micro-batch takes. ``path``: a folder or one file."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+def read_changes(spark: SparkSession, path: str, schema, *, max_files: int = 100, max_bytes: int | None = None) -> DataFrame:
+    """Files of changes as a stream; ``max_files``, or ``max_bytes``, bounds what one micro-batch takes. ``path``: a folder or one file.
+
+    A micro-batch is committed as a whole, like a group of writers; while it runs, what arrives waits.
+    """
+    reader = spark.readStream.schema(schema)
+    reader = reader.option("maxFilesPerTrigger", max_files) if max_bytes is None else reader.option("maxBytesPerTrigger", max_bytes)
     files = Files(spark, path)
     if files.fs.getFileStatus(files.path("")).isFile():
         path, _, name = path.rpartition("/")
@@ -55,20 +59,43 @@ class PatchTable:
     """Live view of a change stream as files: each micro-batch becomes one set of patches, written once.
 
     The folder of a micro-batch is named by its number, so a batch that Spark runs again after a failure
-    overwrites its own output. Reading composes the patches of all batches.
+    overwrites its own output. Every ``merge_every`` batches all patches so far are composed into one set,
+    which counts from the moment it is whole; composition is associative, so nothing changes but the number
+    of folders. Reading composes the merged set and the batches after it.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or scratch(spark, "patches")
+    def __init__(self, spark: SparkSession, path: str | None = None, merge_every: int = 16):
+        self.spark, self.path, self.merge_every = spark, path or scratch(spark, "patches"), merge_every
         self.files = Files(spark, self.path)
         self.files.mkdirs()
 
+    def _merged(self) -> int:
+        """Number of the last batch in the newest whole merged set; -1 when there is none."""
+        numbers = [int(n.partition("=")[2]) for n in self.files.folders("merged") if self.files.exists(f"merged/{n}/_SUCCESS")]
+        return max(numbers, default=-1)
+
+    def _folders(self, upto: int) -> list[str]:
+        """The merged set, if any, and the batches after it."""
+        batches = [n for n in self.files.folders() if n.startswith("batch=") and int(n.partition("=")[2]) > upto]
+        return ([f"merged/upto={upto}"] if upto >= 0 else []) + batches
+
+    def _patches(self, folders: list[str]) -> DataFrame:
+        patches = self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
+        return compose_again(patches, ["_key"], ["value"], False)
+
     def write(self, batch: DataFrame, number: int) -> None:
+        upto = self._merged()
+        if number <= upto:
+            return  # a batch that runs again after it was merged
         compose_patches(batch).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        folders = self._folders(upto)
+        if len(folders) > self.merge_every:
+            self._patches(folders).write.mode("overwrite").parquet(f"{self.path}/merged/upto={number}")
+            for f in folders:
+                self.files.delete(f)
 
     def state(self) -> DataFrame:
-        patches = self.spark.read.parquet(self.path).drop("batch")
-        return apply_patches(compose_again(patches, ["_key"], ["value"], False))
+        return apply_patches(self._patches(self._folders(self._merged())))
 
 
 def run_to_end(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> None:
