@@ -55,9 +55,11 @@ def word_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     Tags and whatever holds digits or signs of addresses and handles are no words.
     """
     plain = F.regexp_replace(text, "<[^<>]*+>", " ")
-    tokens = documents.select(F.explode(F.split(plain, r"\s+")).alias("t")).where(~F.col("t").rlike(r"[@\d_＠]|[\[(](?:at|AT)[\])]"))
-    words = tokens.select(F.explode(F.split("t", r"[^\p{L}'-]+")).alias("w")).where(F.length("w") >= 2)
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    tokens = documents.select(F.explode(F.split(plain, r"\s+")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    # what is between blanks is taken apart once for all its occurrences
+    tokens = tokens.where(~F.col("t").rlike(r"[@\d_＠]|[\[(](?:at|AT)[\])]"))
+    words = tokens.select(F.explode(F.split("t", r"[^\p{L}'-]+")).alias("w"), "n").where(F.length("w") >= 2)
+    counts = words.groupBy("w").agg(F.sum("n").alias("n"))
     small = F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0))
     return counts.groupBy(F.lower("w").alias("word")).agg(F.sum("n").alias("n"), small.alias("small"))
 

@@ -274,10 +274,10 @@ def name_candidates(tokens: Tokens, ordinary: set[str]) -> Iterator[tuple]:
 
     def end_word(i: int) -> tuple[str, int] | None:
         """Word and end of token i without a full stop, for the last part of a name."""
-        w = toks[i]
-        if w[:1] == "\n" or not _LETTER_WORD.match(w) or len(w.rstrip(".")) < 2:
+        if kinds[i] in ("", "I", "i"):
             return None
-        return w.rstrip("."), starts[i] + len(w.rstrip("."))
+        w = toks[i].rstrip(".")
+        return w, starts[i] + len(w)
 
     def case(w: str) -> str:
         return "U" if w.isupper() else "C" if w[0].isupper() else "l"
