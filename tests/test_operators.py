@@ -305,6 +305,25 @@ def test_interval_sums_against_brute_force(spark):
     assert sorted((tuple(x) for x in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_positions_neighbours_and_islands_over_many_partitions(spark):
+    r = random.Random(8)
+    keys = r.sample(range(10_000), 500)
+    df = spark.createDataFrame([(k, k + r.choice([0, 3, 40])) for k in keys], "lo int, hi int").repartition(7)
+    got = {x.lo: x.position for x in order.positions(df, [F.desc("lo")]).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(sorted(keys, reverse=True))}
+    near = {x.lo: (x.prev_key, x.next_key) for x in order.neighbours(df.select("lo"), "lo").collect()}
+    ks = sorted(keys)
+    assert near == {k: (ks[i - 1] if i else None, ks[i + 1] if i + 1 < len(ks) else None) for i, k in enumerate(ks)}
+    rows = sorted((x.lo, x.hi) for x in df.collect())
+    want, reach, first = {}, -1, None
+    for lo, hi in rows:
+        if lo > reach:
+            first = lo
+        want[lo], reach = first, max(reach, hi)
+    assert {x.lo: x.island for x in order.islands(df, "lo", "hi", [F.col("lo"), F.col("hi")]).collect()} == want
+    assert order.islands(df.limit(0), "lo", "hi", [F.col("lo")]).count() == 0
+
+
 def test_successor_and_prefix(spark):
     assert reads.successor(b"a\xff") == b"b" and reads.successor(b"\xff\xff") is None and reads.successor("ab") == b"ac"
     log = spark.createDataFrame([(bytearray(k), 1, 1, bytearray(b"v")) for k in (b"", b"a", b"a\xff", b"a\xff\x01", b"b", b"\xff")], "user_key binary, seq long, op int, value binary")

@@ -178,25 +178,57 @@ def _ask_all(keys: DataFrame, filters: DataFrame) -> DataFrame:
     return sums.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums.columns])
 
 
+def _own_pairs(filter_keys: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each key with the filter of the block that holds it."""
+    own = filter_keys.where(F.col("user_key").isNotNull()).select(
+        F.col("user_key").alias("key"), F.col("file_number").alias("f"), F.expr("block_offset div " + str(FILTER_RANGE_BYTES)).alias("i")
+    ).distinct()
+    return own.join(blocks, (F.col("f") == F.col("file_number")) & (F.col("i") == F.col("filter_index")))
+
+
+def _stored_filters(filter_blocks: DataFrame) -> DataFrame:
+    return filter_blocks.where(F.col("filter").isNotNull()).select("file_number", "filter_index", "filter").distinct()
+
+
+def _with_rate(report: DataFrame) -> DataFrame:
+    return report.withColumn("rate", (F.col("wrong_yes") + F.col("wrong_no")) / F.greatest(F.col("asked"), F.lit(1)))
+
+
+def own_key_errors(filter_keys: DataFrame, filter_blocks: DataFrame) -> DataFrame:
+    """``filters, own keys``: every key against the filter of its own block; a no is wrong. Lost filters deny nothing."""
+    pairs = _own_pairs(filter_keys, _stored_filters(filter_blocks))
+    said = pairs.select(key_may_match(F.col("key").cast("binary"), F.col("filter")).alias("yes"))
+    return _with_rate(said.agg(F.lit("filters, own keys").alias("answered_by"), F.count(F.lit(1)).alias("asked"), F.lit(0).cast("long").alias("wrong_yes"), F.count_if(~F.col("yes")).alias("wrong_no")))
+
+
+def ledger_errors(filter_keys: DataFrame, probes: DataFrame) -> DataFrame:
+    """``ledger``: the exact ledger, held against a plain join over all probes."""
+    from tidemark.operators.seen import seen_before
+
+    ledger = seen_before(probes, filter_keys).select(F.col("probe_id").alias("_yes")).distinct()
+    p = probes.where(F.col("user_key").isNotNull() & F.col("probe_id").isNotNull()).select("probe_id", "user_key").distinct()
+    first = p.groupBy(F.col("user_key").alias("_k")).agg(F.min("probe_id").alias("_first"))
+    past = filter_keys.where(F.col("user_key").isNotNull()).select(F.col("user_key").alias("_k")).distinct().withColumn("_past", F.lit(True))
+    fresh = first.join(past, "_k", "left").where(F.col("_past").isNull()).select(F.col("_first").alias("_fresh"), "_k")
+    truth = p.join(fresh, (F.col("probe_id") == F.col("_fresh")) & (F.col("user_key") == F.col("_k")), "left")
+    truth = truth.groupBy("probe_id").agg(F.max(F.col("_fresh").isNull()).alias("yes"))
+    both = truth.join(ledger, F.col("probe_id") == F.col("_yes"), "left")
+    says = F.col("_yes").isNotNull()
+    return _with_rate(
+        both.agg(F.lit("ledger").alias("answered_by"), F.count(F.lit(1)).alias("asked"), F.count_if(says & ~F.col("yes")).alias("wrong_yes"), F.count_if(~says & F.col("yes")).alias("wrong_no"))
+    )
+
+
 def filter_errors(filter_keys: DataFrame, filter_blocks: DataFrame, probes: DataFrame) -> DataFrame:
     """Measured wrong answers, one row for each who answers.
 
-    ``ledger``: the exact ledger, held against a plain join over all probes.
-    ``filters, own keys``: every key against the filter of its own block; a no is wrong. Lost filters deny nothing.
+    ``ledger`` and ``filters, own keys`` as above.
     ``filters, probes``: every distinct probe key against every filter; a yes for a key not in the block is
     wrong. The pairs grow as keys times filters.
     ``filters, any``: every distinct probe key, asked whether any filter says yes; wrong for a key in no block.
     """
-    from tidemark.operators.seen import seen_before
-
-    blocks = filter_blocks.where(F.col("filter").isNotNull()).select("file_number", "filter_index", "filter").distinct()
-    own = filter_keys.where(F.col("user_key").isNotNull()).select(
-        F.col("user_key").alias("key"), F.col("file_number").alias("f"), F.expr("block_offset div " + str(FILTER_RANGE_BYTES)).alias("i")
-    ).distinct()
-    pairs = own.join(blocks, (F.col("f") == F.col("file_number")) & (F.col("i") == F.col("filter_index")))
-    said = pairs.select(key_may_match(F.col("key").cast("binary"), F.col("filter")).alias("yes"))
-    report = said.agg(F.lit("filters, own keys").alias("answered_by"), F.count(F.lit(1)).alias("asked"), F.lit(0).cast("long").alias("wrong_yes"), F.count_if(~F.col("yes")).alias("wrong_no"))
-
+    blocks = _stored_filters(filter_blocks)
+    pairs = _own_pairs(filter_keys, blocks)
     keys = probes.where(F.col("user_key").isNotNull()).select(F.col("user_key").alias("key")).distinct()
     members = pairs.join(keys, "key", "left_semi").select("key", key_may_match(F.col("key").cast("binary"), F.col("filter")).alias("yes"))
     marked = keys.join(members.select(F.col("key").alias("_in")).distinct(), F.col("key") == F.col("_in"), "left").select("key", F.col("_in").isNotNull().alias("inside"))
@@ -212,18 +244,5 @@ def filter_errors(filter_keys: DataFrame, filter_blocks: DataFrame, probes: Data
             F.struct(F.lit("filters, any").alias("answered_by"), F.col("n_keys").alias("asked"), F.col("outside_yes").alias("wrong_yes"), F.col("inside_no").alias("wrong_no")),
         )
     )
-    report = report.unionByName(counts.select(answers.alias("_a")).select("_a.*"))
-
-    ledger = seen_before(probes, filter_keys).select(F.col("probe_id").alias("_yes")).distinct()
-    p = probes.where(F.col("user_key").isNotNull() & F.col("probe_id").isNotNull()).select("probe_id", "user_key").distinct()
-    first = p.groupBy(F.col("user_key").alias("_k")).agg(F.min("probe_id").alias("_first"))
-    past = filter_keys.where(F.col("user_key").isNotNull()).select(F.col("user_key").alias("_k")).distinct().withColumn("_past", F.lit(True))
-    fresh = first.join(past, "_k", "left").where(F.col("_past").isNull()).select(F.col("_first").alias("_fresh"), "_k")
-    truth = p.join(fresh, (F.col("probe_id") == F.col("_fresh")) & (F.col("user_key") == F.col("_k")), "left")
-    truth = truth.groupBy("probe_id").agg(F.max(F.col("_fresh").isNull()).alias("yes"))
-    both = truth.join(ledger, F.col("probe_id") == F.col("_yes"), "left")
-    says = F.col("_yes").isNotNull()
-    report = report.unionByName(
-        both.agg(F.lit("ledger").alias("answered_by"), F.count(F.lit(1)).alias("asked"), F.count_if(says & ~F.col("yes")).alias("wrong_yes"), F.count_if(~says & F.col("yes")).alias("wrong_no"))
-    )
-    return report.withColumn("rate", (F.col("wrong_yes") + F.col("wrong_no")) / F.greatest(F.col("asked"), F.lit(1)))
+    both = own_key_errors(filter_keys, filter_blocks).unionByName(ledger_errors(filter_keys, probes))
+    return both.unionByName(_with_rate(counts.select(answers.alias("_a")).select("_a.*")))

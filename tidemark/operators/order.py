@@ -61,6 +61,28 @@ def neighbours(df: DataFrame, key: str) -> DataFrame:
     return out.select(*df.columns, F.coalesce("_prev", "_before").alias("prev_key"), F.coalesce("_next", "_after").alias("next_key"))
 
 
+def islands(df: DataFrame, lo: str, hi: str, order: list[Column], name: str = "island") -> DataFrame:
+    """Intervals with the least ``lo`` of the chain of overlapping ones that each belongs to; ends that touch overlap.
+
+    Intervals with a null end are left out. ``order`` begins with ``lo``. One pass over sorted runs; what the
+    runs before reach, one row a partition, is joined to each.
+    """
+    rows = _sorted_runs(df.where(F.col(lo).isNotNull() & F.col(hi).isNotNull()), order, "islands")
+    upto = Window.partitionBy(_PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    above = Window.partitionBy(_PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, -1)
+
+    def greatest(rows: DataFrame, c: str, within, out: str) -> DataFrame:
+        """``rows`` with the greatest value of a column up to them: in their run, and in the runs before."""
+        earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+        runs = rows.groupBy(_PART).agg(F.max(c).alias("_m")).select(F.col(_PART).alias("_p"), F.max("_m").over(earlier).alias("_earlier"))
+        joined = rows.join(F.broadcast(runs), F.col(_PART) == F.col("_p"))
+        return joined.withColumn(out, F.greatest(F.max(c).over(within), F.col("_earlier"))).drop("_p", "_earlier")
+
+    rows = greatest(rows, hi, above, "_reach")
+    rows = rows.withColumn("_start", F.when(F.col("_reach").isNull() | (F.col(lo) > F.col("_reach")), F.col(lo)))
+    return greatest(rows, "_start", upto, name).select(*df.columns, name)
+
+
 def interval_sums(points: DataFrame, lo: Column, hi: Column, intervals: DataFrame, weights: dict[str, Column], *, group: str | None = None, interval_lo: str = "lo_key", interval_hi: str = "hi_key") -> DataFrame:
     """For each row of ``points`` the sums of ``weights`` over the intervals that overlap [lo, hi], ends included.
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.order import interval_sums
+from tidemark.operators.order import interval_sums, islands
 from tidemark.schema import LEVELS
+from tidemark.storage import written
 
 MIB = 1 << 20
 MAX_FILE_SIZE = 2 * MIB
@@ -61,17 +62,17 @@ def first_file_at_or_after(files: DataFrame, key) -> DataFrame:
 def grown_overlap(files: DataFrame, lo=None, hi=None, level: int = 0) -> DataFrame:
     """Files of a level that meet the range, grown by the ranges of such files until nothing is added.
 
-    Only the two ends of the range come to the driver, once for each growth.
+    Those are the files of all chains of overlapping files that meet the range: a chain covers every key
+    between its ends, so one of its files meets whatever the chain meets.
     """
-    mine = files.where(F.col("level") == level)
-    while True:
-        met = overlapping(mine, lo, hi)
-        ends = met.agg(F.min("lo_key").alias("lo"), F.max("hi_key").alias("hi")).first()
-        lower = lo is not None and ends.lo is not None and ends.lo < lo
-        upper = hi is not None and ends.hi is not None and ends.hi > hi
-        if not (lower or upper):
-            return met
-        lo, hi = ends.lo if lower else lo, ends.hi if upper else hi
+    chained = islands(files.where(F.col("level") == level), "lo_key", "hi_key", [F.col("lo_key"), F.col("hi_key"), F.col("file_number")])
+    chained = written(chained, "chained-files")
+    ends = chained.groupBy("island").agg(F.max("hi_key").alias("_to"))
+    if hi is not None:
+        ends = ends.where(F.col("island") <= F.lit(hi))
+    if lo is not None:
+        ends = ends.where(F.col("_to") >= F.lit(lo))
+    return chained.join(ends.select(F.col("island").alias("_met")), F.col("island") == F.col("_met"), "left_semi").drop("island")
 
 
 def key_range(files: DataFrame, by: list[str]) -> DataFrame:

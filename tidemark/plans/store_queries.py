@@ -474,13 +474,17 @@ _M32 = "% 4294967296"
 _MIXED = f"((h + w) {_M32} * 3332679571::HUGEINT {_M32})::BIGINT"
 
 
-@_query(f"""WITH k AS (SELECT DISTINCT user_key, hex(user_key) AS h FROM {_LOG}), x AS (SELECT user_key, {_BYTES.format(h="h")} AS p, length(h) // 2 AS n FROM k),
+# hash and checksum of the keys of a table of user_key and h, its bytes in hexadecimal
+_HASHES = f"""(WITH x AS (SELECT user_key, {_BYTES.format(h="h")} AS p, length(h) // 2 AS n FROM {{keys}}),
   c AS (SELECT user_key, p, n, {_CRC} AS crc32c, xor(3164544308, CAST(n * 3332679571::HUGEINT {_M32} AS BIGINT)) AS seed,
     list_transform(range(0, n // 4), lambda i: p[4 * i + 1] + 256 * p[4 * i + 2] + 65536 * p[4 * i + 3] + 16777216 * p[4 * i + 4]) AS words FROM x),
   m AS (SELECT *, list_reduce(words, lambda h, w: xor({_MIXED}, {_MIXED} >> 16), seed) AS h,
     list_reduce(p[4 * (n // 4) + 1:], lambda a, y, i: a + y * (1 << CAST(8 * (i - 1) AS BIGINT)), CAST(0 AS BIGINT)) AS w FROM c)
-  SELECT user_key, CASE WHEN n % 4 = 0 THEN h ELSE xor({_MIXED}, {_MIXED} >> 24) END AS hash, crc32c,
-    (((crc32c >> 15) | ((crc32c & 32767) << 17)) + 2726488792) {_M32} AS stored FROM m""")
+  SELECT user_key, CASE WHEN n % 4 = 0 THEN h ELSE xor({_MIXED}, {_MIXED} >> 24) END AS hash, crc32c FROM m)"""
+
+
+@_query(f"""SELECT user_key, hash, crc32c, (((crc32c >> 15) | ((crc32c & 32767) << 17)) + 2726488792) {_M32} AS stored
+  FROM {_HASHES.format(keys=f"(SELECT DISTINCT user_key, hex(user_key) AS h FROM {_LOG})")}""")
 def checksums(spark, d):
     """Hash, checksum and its stored form of each key."""
     key = F.col("user_key").cast("binary")
@@ -496,6 +500,22 @@ def bloom_no_false_negative(spark, d):
     return asked.where(~bloom.key_may_match(F.col("key"), F.col("filter"))).select("file_number", "filter_index").distinct()
 
 
+@_query(f"""WITH k AS (SELECT DISTINCT user_key, file_number, block_offset // 2048 AS i FROM filter_keys WHERE user_key IS NOT NULL),
+  a AS (SELECT user_key, file_number, i AS filter_index FROM k UNION SELECT user_key, file_number, i + 1 FROM k),
+  f AS (SELECT DISTINCT file_number, filter_index, hex(filter) AS f FROM filter_blocks WHERE filter IS NOT NULL),
+  h AS {_HASHES.format(keys="(SELECT DISTINCT user_key, hex(user_key) AS h FROM filter_keys WHERE user_key IS NOT NULL)")},
+  q AS (SELECT *, length(f) * 4 - 8 AS n_bits, CAST('0x' || left(f, 2) AS BIGINT) AS k, (hash >> 17) | ((hash << 15) {_M32}) AS delta FROM a JOIN f USING (file_number, filter_index) JOIN h USING (user_key))
+  SELECT user_key, file_number, filter_index, len(list_filter(range(0, k), lambda i:
+    (CAST('0x' || substr(f, 3 + 2 * ((((hash + i * delta) {_M32}) % n_bits) // 8), 2) AS BIGINT) >> ((((hash + i * delta) {_M32}) % n_bits) % 8)) & 1 = 0)) = 0 AS may_match FROM q""")
+def bloom_membership(spark, d):
+    """Every key asked of the filter of its block and of the block after it."""
+    keys = _table(spark, d, "filter_keys").where("user_key IS NOT NULL").select("user_key", "file_number", F.expr("block_offset div 2048").alias("i"))
+    asked = keys.select("user_key", "file_number", F.explode(F.array("i", F.col("i") + 1)).alias("filter_index")).distinct()
+    blocks = _table(spark, d, "filter_blocks").where("filter IS NOT NULL").select("file_number", "filter_index", "filter").distinct()
+    both = asked.join(blocks, ["file_number", "filter_index"])
+    return both.select("user_key", "file_number", "filter_index", bloom.key_may_match(F.col("user_key").cast("binary"), F.col("filter")).alias("may_match"))
+
+
 @_query("""SELECT file_number, filter_index, hex(filter) AS filter FROM (SELECT DISTINCT file_number, filter_index, filter FROM filter_blocks WHERE filter IS NOT NULL)""")
 def build_filters(spark, d):
     """Filters built anew from the keys of each block; equal to the stored ones."""

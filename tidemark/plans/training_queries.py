@@ -62,6 +62,12 @@ def p2_new_keys(spark: SparkSession, d: str) -> DataFrame:
     return ledger.new_keys(ids, "user_key", "probe_id")
 
 
+def p2_exact_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The wrong answers that there must not be: of the ledger about any probe, and of a filter about a key of its own."""
+    keys = _table(spark, d, "filter_keys")
+    return bloom.ledger_errors(keys, _table(spark, d, "probes")).unionByName(bloom.own_key_errors(keys, _table(spark, d, "filter_blocks")))
+
+
 def p2_wrong_answers(spark: SparkSession, d: str) -> DataFrame:
     """Measured rates of wrong answers: of the ledger (zero) and of the stored filters."""
     return bloom.filter_errors(_table(spark, d, "filter_keys"), _table(spark, d, "filter_blocks"), _table(spark, d, "probes"))
@@ -149,7 +155,7 @@ def p5_files(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_new_keys, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_item_states, p5_found, p5_replaced, p5_consolidated_rows, p5_live_after, p5_files)
+    for f in (p1_found, p1_state, p1_state_after_batches, p2_found, p2_new_keys, p2_exact_answers, p2_wrong_answers, p3_found, p3_key_statistics, p3_value_profile, p4_found, p4_next_operations, p4_item_states, p5_found, p5_replaced, p5_consolidated_rows, p5_live_after, p5_files)
 }
 
 _VALID = "user_key IS NOT NULL AND seq IS NOT NULL AND op IN (0, 1)"
@@ -173,6 +179,9 @@ SQL = {
   f AS (SELECT user_key, min(probe_id) AS first FROM probes WHERE user_key IS NOT NULL GROUP BY 1)
   SELECT DISTINCT p.probe_id FROM probes p JOIN f USING (user_key) LEFT JOIN k USING (user_key)
   WHERE k.user_key IS NOT NULL OR p.probe_id > f.first""",
+    "p2_exact_answers": """SELECT 'ledger' AS answered_by, count(DISTINCT probe_id) AS asked, 0 AS wrong_yes, 0 AS wrong_no, CAST(0 AS DOUBLE) AS rate FROM probes WHERE user_key IS NOT NULL
+  UNION ALL SELECT 'filters, own keys', count(*), 0, 0, 0.0 FROM (SELECT DISTINCT user_key, file_number, block_offset // 2048 AS filter_index FROM filter_keys WHERE user_key IS NOT NULL)
+  JOIN (SELECT DISTINCT file_number, filter_index, filter FROM filter_blocks WHERE filter IS NOT NULL) USING (file_number, filter_index)""",
     "p2_new_keys": """SELECT user_key, CASE WHEN k.user_key IS NULL THEN f.first END AS probe_id
   FROM (SELECT DISTINCT user_key FROM filter_keys WHERE user_key IS NOT NULL) k
   FULL JOIN (SELECT user_key, min(probe_id) AS first FROM probes WHERE user_key IS NOT NULL GROUP BY 1) f USING (user_key)""",
