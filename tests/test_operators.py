@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import compaction, incremental, order, reads, seen, skew, smallfiles, versions, writes
 from tidemark.operators.incremental import StaleLease, WorkLedger
-from tidemark.storage import scratch
+from tidemark.storage import registered, scratch
 
 
 # --- has this key been seen before
@@ -50,9 +50,8 @@ def test_ledger_answers_again_and_after_reopening(spark, tmp_path):
     assert ask(first, "one") == [("x", 1)]
     assert ask(first, "one") == [("x", 1)]  # the job was lost and runs again
     assert ask([(5, "x"), (6, "y")], "two") == [("y", 6)]
-    for row in spark.sql("SHOW TABLES").collect():  # as in a new session
-        if row.tableName.startswith("key_ledger_"):
-            spark.sql(f"DROP TABLE {row.tableName}")
+    while registered:  # as in a new session
+        spark.sql(f"DROP TABLE {registered.pop()}")
     assert ask([(7, "y"), (8, "old"), (9, "z")], "three", 2) == [("z", 9)]
     ledger = seen.KeyLedger(spark, path)
     assert len(ledger.history()) == 1 and ledger.buckets == 3  # merged

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.session import settings
-from tidemark.storage import Files, scratch
+from tidemark.storage import Files, registered, scratch
 
 HISTORY = "history"
 #: Generations beyond which they are merged into one.
@@ -51,9 +51,14 @@ class KeyLedger:
         new = {"number": number, "buckets": self.buckets, "key_type": key_type, "generations": generations, "batches": batches}
         self.files.write(f"manifest/{number:012d}.json", json.dumps(new), overwrite=False)
 
+    def _name(self, generation: str) -> str:
+        name = f"key_ledger_{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.path}/{generation}').hex}"
+        registered.add(name)
+        return name
+
     def _table(self, generation: str, key_type: str) -> DataFrame:
         """A generation as a bucketed table, which every session finds under one name made of its path."""
-        name = f"key_ledger_{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.path}/{generation}').hex}"
+        name = self._name(generation)
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {name} (_key {key_type}, _first BIGINT, _batch STRING) USING parquet "
             f"CLUSTERED BY (_key) SORTED BY (_key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{generation}'"
@@ -63,9 +68,8 @@ class KeyLedger:
     def _write(self, keys: DataFrame) -> str:
         """A new generation: one sorted file a bucket. Nobody reads it before a manifest lists it."""
         generation = f"keys-{uuid.uuid4().hex}"
-        name = f"key_ledger_{uuid.uuid5(uuid.NAMESPACE_URL, f'{self.path}/{generation}').hex}"
         out = keys.repartition(self.buckets, "_key").write.bucketBy(self.buckets, "_key").sortBy("_key")
-        out.option("path", f"{self.path}/{generation}").saveAsTable(name)
+        out.option("path", f"{self.path}/{generation}").saveAsTable(self._name(generation))
         return generation
 
     def history(self) -> list[DataFrame]:

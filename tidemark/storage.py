@@ -27,6 +27,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 _made: list[str] = []
+#: Catalog entries of tables that are files of ours; they are made again when needed.
+registered: set[str] = set()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -37,8 +39,10 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def clean(spark: SparkSession) -> int:
-    """Delete what this session wrote to scratch paths. Results that were not yet read or saved are lost."""
+    """Delete what this session wrote to scratch paths, and its catalog entries. Results that were not yet read or saved are lost."""
     n = 0
+    while registered:
+        spark.sql(f"DROP TABLE IF EXISTS {registered.pop()}")
     while _made:
         Files(spark, _made.pop()).delete()
         n += 1
